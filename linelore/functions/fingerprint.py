@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the FNV-1a 64-bit hash.
 FNV_OFFSET = 0xCBF29CE484222325
@@ -55,7 +56,7 @@ def fingerprint_values(commands) -> list[str | None]:
     return [memo[c] for c in commands]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def fingerprint(command: pd.Series) -> pd.Series:
     return pd.Series(fingerprint_values(command.where(command.notna(), None).tolist()), dtype=object)
 
