@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from linelore.functions.fingerprint import resolved_fingerprint
 from linelore.functions.paths import directory_sql
-from linelore.llm import encoding, heavy_hitters, mixing, nearest_time, quantiles, runs
+from linelore.llm import encoding, heavy_hitters, mixing, nearest_time, quantiles, runs, subjects
 from linelore.session import table
 
 
@@ -73,9 +73,18 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
     return mixing.reached_shares(p9_selection(spark, root), table(spark, root, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return subjects.document_subjects(table(spark, root, "documents"), table(spark, root, "subject_labels"), table(spark, root, "subjects"))
+
+
+def p10_composition(spark: SparkSession, root: str) -> DataFrame:
+    """``subject, documents``: how many documents each subject area has."""
+    return p10_found(spark, root).groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p4_found, p4_percentiles, p4_profiles, p5_found, p5_collapsed, p7_found, p7_counts, p8_ids, p8_round_trip, p9_selection, p9_shares)
+    for f in (p2_found, p4_found, p4_percentiles, p4_profiles, p5_found, p5_collapsed, p7_found, p7_counts, p8_ids, p8_round_trip, p9_selection, p9_shares, p10_found, p10_composition)
 }
 
 # The fingerprint of a command: lower case, single spaces, FNV-1a of 64 bits (arithmetic in 128-bit integers).
@@ -109,4 +118,3 @@ SELECT field, item, n, (SELECT count(*) FROM t) AS n_rows FROM c WHERE n >= 0.01
     "p8_round_trip": "SELECT doc_id, length(text) AS n_chars, sha256(text) AS hash FROM documents WHERE text IS NOT NULL",
 }
 SQL["p7_found"] = f"SELECT field, item FROM ({SQL['p7_counts']})"
-# A line's key by RE2; hexadecimal words are told apart from other words token by token.
