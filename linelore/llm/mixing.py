@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linelore.llm.encoding import RANKS, TOKENIZERS, count_tokens
@@ -118,9 +118,8 @@ def wanted(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     have = sizes.groupBy("source").agg(F.sum("n_tokens").alias("available"))
     t = targets.where("source is not null and target_share > 0 and max_repeats > 0").groupBy("source").agg(F.max("target_share").cast("double").alias("target_share"), F.max("max_repeats").alias("max_repeats"))
     t = t.join(have, "source").where("available > 0")
-    room = F.min(F.col("max_repeats") * F.col("available") / F.col("target_share")).alias("total")
-    total = t.agg(room).withColumn("one", F.lit(1))  # one row
-    t = t.withColumn("one", F.lit(1)).join(F.broadcast(total), "one").drop("one")
+    everywhere = Window.partitionBy(F.lit(1))  # over the mix's few sources
+    t = t.withColumn("total", F.min(F.col("max_repeats") * F.col("available") / F.col("target_share")).over(everywhere))
     return t.withColumn("rate", F.least(F.col("total") * F.col("target_share") / F.col("available"), F.col("max_repeats").cast("double")))
 
 
@@ -161,8 +160,7 @@ def select_mix(documents: DataFrame, targets: DataFrame, seed: int = 7, folder:
 def reached_shares(selection: DataFrame, targets: DataFrame) -> DataFrame:
     """``source, target_share, share, tokens, documents, most_repeats``: what a selection reaches, a row per wanted source."""
     s = selection.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("tokens"), F.count("*").alias("documents"), F.max("repeats").alias("most_repeats"))
-    total = s.agg(F.sum("tokens").alias("total")).withColumn("one", F.lit(1))
-    t = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share")).withColumn("one", F.lit(1))
-    t = t.join(F.broadcast(total), "one", "left").join(s, "source", "left")
+    t = targets.where("source is not null").groupBy("source").agg(F.max("target_share").alias("target_share")).join(s, "source", "left")
+    t = t.withColumn("total", F.sum("tokens").over(Window.partitionBy(F.lit(1))))
     zero = F.lit(0).cast("bigint")
     return t.select("source", "target_share", F.coalesce(F.col("tokens") / F.col("total"), F.lit(0.0)).alias("share"), F.coalesce("tokens", zero).alias("tokens"), F.coalesce("documents", zero).alias("documents"), F.coalesce("most_repeats", F.lit(0)).alias("most_repeats"))
