@@ -76,29 +76,31 @@ def exact_sum(c: str) -> Column:
     return F.sum(F.col(c).cast("decimal(18,4)")).cast("double")
 
 
-COUNTERS = {
-    "commands": F.count("*"),
-    "raw_tokens": F.sum("raw_tokens"),
-    "filtered_tokens": F.sum("filtered_tokens"),
-    "saved_tokens": F.sum("saved_tokens"),
-    "passthrough_commands": F.count_if(F.col("passthrough")),
-    "passthrough_tokens": F.sum(F.when(F.col("passthrough"), F.col("raw_tokens")).otherwise(0)),
-    "total_duration_ms": F.sum("duration_ms"),
-    "failures": F.count_if(F.col("exit_code") != 0),
-    "fallbacks": F.count_if(F.col("fallback_used")),
-    "empty_results": F.count_if(F.col("empty_result")),
-    "tee_count": F.count_if(F.col("tee_path") != ""),
-    "raw_bytes_read": F.sum("raw_bytes_read"),
-    "bytes_parsed": F.sum("bytes_parsed"),
-    "bytes_emitted": F.sum("bytes_emitted"),
-    "savings_pct_sum": F.coalesce(F.sum(F.when(~F.col("passthrough"), F.col("savings_pct").cast("decimal(18,4)"))).cast("double"), F.lit(0.0)),
-}
+def counters() -> dict[str, Column]:
+    """The additive counters of a set of runs."""
+    return {
+        "commands": F.count("*"),
+        "raw_tokens": F.sum("raw_tokens"),
+        "filtered_tokens": F.sum("filtered_tokens"),
+        "saved_tokens": F.sum("saved_tokens"),
+        "passthrough_commands": F.count_if(F.col("passthrough")),
+        "passthrough_tokens": F.sum(F.when(F.col("passthrough"), F.col("raw_tokens")).otherwise(0)),
+        "total_duration_ms": F.sum("duration_ms"),
+        "failures": F.count_if(F.col("exit_code") != 0),
+        "fallbacks": F.count_if(F.col("fallback_used")),
+        "empty_results": F.count_if(F.col("empty_result")),
+        "tee_count": F.count_if(F.col("tee_path") != ""),
+        "raw_bytes_read": F.sum("raw_bytes_read"),
+        "bytes_parsed": F.sum("bytes_parsed"),
+        "bytes_emitted": F.sum("bytes_emitted"),
+        "savings_pct_sum": F.coalesce(F.sum(F.when(~F.col("passthrough"), F.col("savings_pct").cast("decimal(18,4)"))).cast("double"), F.lit(0.0)),
+    }
 
 
 def fold_totals(df: DataFrame) -> DataFrame:
     """Additive counters of archived rows: one row, combinable with others by adding."""
     h = hydrate(df).where(~F.coalesce(excluded_command(F.col("command")), F.lit(False)))
-    return h.agg(*[F.coalesce(c, F.lit(0)).alias(k) for k, c in COUNTERS.items()])
+    return h.agg(*[F.coalesce(c, F.lit(0)).alias(k) for k, c in counters().items()])
 
 
 def combine_totals(*parts: DataFrame) -> DataFrame:
@@ -106,7 +108,7 @@ def combine_totals(*parts: DataFrame) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return with_rates(out.agg(*[F.sum(k).alias(k) for k in COUNTERS]))
+    return with_rates(out.agg(*[F.sum(k).alias(k) for k in counters()]))
 
 
 def with_rates(t: DataFrame) -> DataFrame:
@@ -127,7 +129,7 @@ def with_rates(t: DataFrame) -> DataFrame:
 def summary(df: DataFrame) -> DataFrame:
     """One row: counts, sums, rates, and the median and 95th percentile of durations of all runs."""
     h = hydrate(df)
-    t = h.agg(*[F.coalesce(c, F.lit(0)).alias(k) for k, c in COUNTERS.items()], F.coalesce(nearest_rank("duration_ms", 0.5), F.lit(0)).alias("duration_p50_ms"), F.coalesce(nearest_rank("duration_ms", 0.95), F.lit(0)).alias("duration_p95_ms"))
+    t = h.agg(*[F.coalesce(c, F.lit(0)).alias(k) for k, c in counters().items()], F.coalesce(nearest_rank("duration_ms", 0.5), F.lit(0)).alias("duration_p50_ms"), F.coalesce(nearest_rank("duration_ms", 0.95), F.lit(0)).alias("duration_p95_ms"))
     return with_rates(t).drop("savings_pct_sum")
 
 
