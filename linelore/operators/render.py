@@ -6,6 +6,7 @@ Only the hard cap, which measures the whole text again at every step, runs in Py
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from linelore.functions import text as T
-from linelore.functions.tokens import hard_cap
+from linelore.functions.tokens import estimate, hard_cap
 from linelore.operators import lines as L
 
 
@@ -122,11 +123,47 @@ def retention_needles(raw: Column) -> Column:
     return F.slice(F.array_distinct(F.concat(places, codes)), 1, 64)
 
 
+_CRITICAL, _CODE = re.compile(CRITICAL), re.compile(CODE)
+_NEEDLE = re.compile(r"[A-Za-z0-9_-][A-Za-z0-9_.-]*\.(?:" + "|".join(T.ANCHOR_EXTENSIONS) + r"):[0-9]+")
+
+
+def needles(raw: str) -> list[str]:
+    """The same as ``retention_needles``, for a text held in Python."""
+    crit = [x for x in raw.split("\n") if _CRITICAL.search(x.strip())]
+    found = [m for x in crit for m in _NEEDLE.findall(x)] + [m for x in crit for m in _CODE.findall(x)]
+    return list(dict.fromkeys(found))[:64]
+
+
+def finished(raw: str, text: str, raw_tokens: int, allowed: int | None, checked: bool, lines: int) -> tuple[str, int, list[str], int]:
+    """Contract, small-output guard, retention with repair, and never worse than raw: rendering, its tokens, what was missing, repairs."""
+    if allowed is not None and estimate(text) > allowed:
+        text = hard_cap(text, allowed) or text
+    if len(raw.encode()) <= TINY_BYTES and raw_tokens <= TINY_TOKENS and estimate(text) > raw_tokens:
+        text = raw
+    missing = [x for x in needles(raw) if x not in text] if checked else []
+    repairs = min(len(missing), lines)
+    if repairs:
+        text += "\nmissing detail:\n" + "\n".join(missing[:repairs])
+    if estimate(text) > raw_tokens:
+        text = raw
+    return text, estimate(text), missing, repairs
+
+
+_FINISHED = Ty.StructType([Ty.StructField("rendered", Ty.StringType()), Ty.StructField("filtered_tokens", Ty.LongType()), Ty.StructField("missing", Ty.ArrayType(Ty.StringType())), Ty.StructField("repairs", Ty.IntegerType())])
+
+
+@F.pandas_udf(_FINISHED)
+def finish(raw: pd.Series, text: pd.Series, raw_tokens: pd.Series, allowed: pd.Series, checked: pd.Series, lines: pd.Series) -> pd.DataFrame:
+    rows = [finished(r or "", t or "", int(n), None if a is None or a != a else int(a), bool(c), int(k)) for r, t, n, a, c, k in zip(raw, text, raw_tokens, allowed, checked, lines)]
+    return pd.DataFrame(rows, columns=_FINISHED.names)
+
+
 def render(df: DataFrame, text: str, exit_code: str, profile: str, options: EngineOptions = EngineOptions()) -> DataFrame:
     """Adds ``route, raw_tokens, budget_lines, rendered, filtered_tokens, saved_tokens, savings_pct, repairs, missing``.
 
     Stages: reduce by route, contract, small-output guard, retention and repair, never worse than raw. Null and empty
-    texts render as empty.
+    texts render as empty. Write or checkpoint the result before filtering on it: the optimizer would otherwise spend its
+    time on carrying the filter's constraints through the reducers' expressions.
     """
     o = options
     raw = F.coalesce(F.col(text), F.lit(""))
@@ -140,27 +177,15 @@ def render(df: DataFrame, text: str, exit_code: str, profile: str, options: Engi
     n, most = F.size("__ls"), F.col("budget_lines")
     cut = F.concat(F.slice("__ls", F.lit(1), most), F.array(F.concat(F.lit("... +"), (n - most).cast("string"), F.lit(" more lines"))))
     df = df.withColumn("__t", F.when(F.col("route") == "binary", F.concat(F.lit("binary, printable: "), F.array_join(F.slice(printable_runs(F.col("__raw")), 1, 5), " | "))).otherwise(F.array_join(F.when(n > most, cut).otherwise(F.col("__ls")), "\n")))
-    if o.compression_contract:
-        df = df.withColumn("__a", allowance(F.col("raw_tokens"), most)).withColumn("__n", T.estimate_tokens(F.col("__t")))
-        over = F.col("__n") > F.col("__a")
-        capped = hard_cap_tokens(F.when(over, F.col("__t")), F.when(over, F.col("__a")))
-        df = df.withColumn("__t", F.when(over, F.coalesce(capped, F.col("__t"))).otherwise(F.col("__t"))).drop("__a", "__n")
-    tiny = (F.octet_length("__raw") <= TINY_BYTES) & (F.col("raw_tokens") <= TINY_TOKENS)
-    df = df.withColumn("__t", F.when(tiny & (T.estimate_tokens(F.col("__t")) > F.col("raw_tokens")), F.col("__raw")).otherwise(F.col("__t")))
-    if o.retention_verifier:
-        checked = (F.col("raw_tokens") >= CONTRACT_RAW) & (F.col(exit_code) != 0)
-        miss = F.filter(retention_needles(F.col("__raw")), lambda x: ~F.contains(F.col("__t"), x))
-        df = df.withColumn("missing", F.when(checked, miss).otherwise(F.array().cast("array<string>")))
-        df = df.withColumn("repairs", F.least(F.size("missing"), F.col("budget_lines")))
-        fixed = F.concat(F.col("__t"), F.lit("\nmissing detail:\n"), F.array_join(F.slice("missing", F.lit(1), F.greatest(F.col("repairs"), F.lit(1))), "\n"))
-        df = df.withColumn("__t", F.when(F.col("repairs") > 0, fixed).otherwise(F.col("__t")))
-    else:
-        df = df.withColumn("missing", F.array().cast("array<string>")).withColumn("repairs", F.lit(0))
-    df = df.withColumn("rendered", F.when(T.estimate_tokens(F.col("__t")) > F.col("raw_tokens"), F.col("__raw")).otherwise(F.col("__t")))
-    df = df.withColumn("filtered_tokens", T.estimate_tokens(F.col("rendered")))
+    allowed = allowance(F.col("raw_tokens"), most) if o.compression_contract else F.lit(None).cast("int")
+    checked = F.lit(o.retention_verifier) & (F.col("raw_tokens") >= CONTRACT_RAW) & (F.col(exit_code) != 0)
+    # one Arrow pass: what follows measures whole texts again and again; it also keeps filters on its results from being
+    # worked into everything before
+    df = df.withColumn("__f", finish(F.col("__raw"), F.col("__t"), F.col("raw_tokens"), allowed, F.coalesce(checked, F.lit(False)), most))
+    df = df.select(*[c for c in df.columns if c not in ("__f", "__raw", "__ls", "__t", "__fail")], F.col("__f.rendered").alias("rendered"), F.col("__f.filtered_tokens").alias("filtered_tokens"), F.col("__f.missing").alias("missing"), F.col("__f.repairs").alias("repairs"))
     saved = F.col("raw_tokens") - F.col("filtered_tokens")
     pct = F.when(F.col("raw_tokens") > 0, F.round(saved * 100.0 / F.col("raw_tokens"), 2)).otherwise(0.0)
-    return df.withColumn("saved_tokens", saved).withColumn("savings_pct", pct).drop("__raw", "__ls", "__t", "__fail")
+    return df.withColumn("saved_tokens", saved).withColumn("savings_pct", pct)
 
 
 def quality(df: DataFrame, raw: str, rendered: str, exit_code: str) -> DataFrame:
