@@ -102,7 +102,7 @@ def fold(df: DataFrame, lines: str, out: str, key: Callable[[Column], Column] |
     es = F.transform(F.filter(F.transform(F.col(lines), T.trim), lambda x: x != ""), lambda x: F.struct(x.alias("line"), (key(x) if key else x).alias("key")))
     df = df.withColumn("__es", es)
     n = F.size("__es")
-    at = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("__es", i)["key"] != F.get("__es", i - 1)["key"]))).otherwise(F.array().cast("array<int>"))
+    at = F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("__es", i)["key"] != F.get("__es", i - 1)["key"]))).when(n == 0, F.array().cast("array<int>"))
     df = df.withColumn("__at", at)
     size = lambda s, j: F.coalesce(F.get("__at", j + 1), F.size("__es")) - s
     line = lambda s, j: F.concat(F.get("__es", s)["line"], F.when(size(s, j) > 1, F.concat(F.lit(" (x"), size(s, j).cast("string"), F.lit(")"))).otherwise(""))
