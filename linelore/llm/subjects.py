@@ -221,45 +221,68 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], most: in
 
 
 class Scorer:
-    """Subjects of sentences and documents; words that were seen are kept with their outputs."""
+    """Subjects of sentences and documents; the outputs of words that were seen are kept in a growing table."""
 
-    def __init__(self, m: dict[str, np.ndarray]):
-        self.m, self.words = m, {}
+    MOST_WORDS = 200_000
 
-    def word(self, w: str) -> np.ndarray:
-        z = self.words.get(w)
-        if z is None:
+    def __init__(self, m: dict[str, np.ndarray]):
+        self.m, self.rows, self.z = m, {}, np.zeros((1024, len(m["b"])), np.float32)
+
+    def row(self, w: str) -> int:
+        i = self.rows.get(w)
+        if i is None:
+            i = self.rows[w] = len(self.rows)
+            if i == len(self.z):
+                self.z = np.concatenate([self.z, np.zeros_like(self.z)])
             own, grams = features(w)
-            z = (self.m["E"][own] + self.m["E"][grams].mean(0)) @ self.m["W"]
-            if len(self.words) < 200_000:
-                self.words[w] = z
-        return z
-
-    def outputs(self, words: list[str]) -> np.ndarray:
-        return np.add.reduce([self.word(w) for w in words]) / len(words) + self.m["b"]
+            self.z[i] = (self.m["E"][own] + self.m["E"][grams].mean(0)) @ self.m["W"]
+        return i
+
+    def outputs(self, sents: list[list[str]]) -> np.ndarray:
+        """One row of outputs per sentence, all at once."""
+        if not sents:
+            return np.zeros((0, len(self.m["b"])), np.float32)
+        if len(self.rows) > self.MOST_WORDS:
+            self.rows = {}
+        get, ids, size = self.rows.get, [], []
+        for s in sents:
+            ids += [i if (i := get(w)) is not None else self.row(w) for w in s]
+            size.append(len(s))
+        size = np.array(size)
+        start = np.cumsum(size) - size
+        return np.add.reduceat(self.z[ids], start, axis=0) / size[:, None] + self.m["b"]
 
     def sentence(self, words: list[str]) -> int:
         """The place of the subject, -1 for none."""
-        z = self.outputs(words)
+        z = self.outputs([words])[0]
         i = int(z.argmax())
         return i if z[i] >= np.log(SURE / (1 - SURE)) else -1
 
-    def counts(self, text: str | None) -> list[int]:
-        """Sentences of each subject. One that may be about two subjects counts for the one that the rest of the text is about."""
-        n = [0] * len(self.m["b"])
-        zs = [self.outputs(s) for s in sentences(text)]
-        zs = [z for z in zs if z.max() >= np.log(SURE / (1 - SURE))]
-        for z in zs:
-            n[int(z.argmax())] += 1
-        out = [0] * len(n)
-        for z in zs:
-            i = int(z.argmax())
-            near = np.flatnonzero(z >= z[i] - NEAR)
-            if len(near) > 1:
-                i = max(near.tolist(), key=lambda j: (n[j] - (j == i), z[j]))
-            out[i] += 1
+    def counts_of(self, texts: list[str | None]) -> list[list[int]]:
+        """Sentences of each subject, for each text. One that may be about two subjects counts for the one that the rest of the text is about."""
+        sents = [sentences(t) for t in texts]
+        z = self.outputs([s for d in sents for s in d])
+        best, sure = z.argmax(1), z.max(1, initial=-np.inf) if len(z) else np.zeros(0)
+        about = sure >= np.log(SURE / (1 - SURE))
+        near = z >= sure[:, None] - NEAR if len(z) else z.astype(bool)
+        twofold = near.sum(1) > 1
+        out, k = [], 0
+        for d in sents:
+            at = np.flatnonzero(about[k : k + len(d)]) + k
+            k += len(d)
+            n = np.bincount(best[at], minlength=z.shape[1]).tolist()
+            final = list(n)
+            for j in at[twofold[at]].tolist():
+                b = int(best[j])
+                c = max(np.flatnonzero(near[j]).tolist(), key=lambda x: (n[x] - (x == b), z[j, x]))
+                final[b] -= 1
+                final[c] += 1
+            out.append(final)
         return out
 
+    def counts(self, text: str | None) -> list[int]:
+        return self.counts_of([text])[0]
+
 
 def score(documents: DataFrame, model: dict[str, np.ndarray], subjects: list[str]) -> DataFrame:
     """``doc_id, subject, n_sentences, share``: the subjects of every document with their part of its sentences."""
@@ -269,10 +292,11 @@ def score(documents: DataFrame, model: dict[str, np.ndarray], subjects: list[str
         s = Scorer(sent.value)
         for b in batches:
             rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                n = s.counts(t)
-                total = sum(n)
-                rows += [(d, subjects[i], x, x / total) for i, x in enumerate(n) if x]
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                for d, n in zip(part.column(0).to_pylist(), s.counts_of(part.column(1).to_pylist())):
+                    total = sum(n)
+                    rows += [(d, subjects[i], x, x / total) for i, x in enumerate(n) if x]
             if rows:
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.float64()))], names=["doc_id", "subject", "n_sentences", "share"])
 
