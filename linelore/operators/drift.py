@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from linelore.session import cut_lineage
+
 # Logical field -> spellings of its key in the files, as regular expressions over the path. Fixed values of the format.
 ALIASES: dict[str, Sequence[str]] = {
     "session_scope": ("session_scope", "sessionScope", "session", "scope", "context\\.scope", "[a-z]+_session"),
@@ -106,7 +108,7 @@ def schema_changes(lines: DataFrame, aliases: dict[str, Sequence[str]] = ALIASES
     changes nothing. Blank, corrupt and doubled lines, JSON nulls and files without any readable record are allowed; a
     file in which no record has a field lacks it.
     """
-    cat = footer_catalogue(lines)
+    cat = cut_lineage(footer_catalogue(lines))  # small; what follows reads it several times
     files = _files(cat)
     life = lifespans(cat, aliases)
     if only is not None:
