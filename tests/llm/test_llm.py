@@ -77,7 +77,7 @@ def test_runs(spark):
     assert rows(runs.found_runs(df)) == sorted([(1, 1, 4), (1, 7, 9), (1, 10, 1210), (5, 1, 3)], key=repr)
     assert runs.found_runs(df.where("false")).count() == 0
     got = {(r.seq_id, r.first_line): (r.last_line, r.n) for r in runs.collapsed(df, "capture_id", "raw_combined").collect()}
-    assert got[1, 5] == (6, 2) and got[1, 10] == (1210, 401) and got[4, 1] == (1, 1)
+    assert got[1, 5] == (6, 2) and got[1, 10] == (1210, 801) and got[4, 1] == (1, 1)
 
 
 def test_frequent(spark):
