@@ -51,7 +51,7 @@ REPEATS = T.StructType([T.StructField("id", T.LongType()), T.StructField("prev_i
 _STATE = T.StructType([T.StructField("id", T.LongType()), T.StructField("us", T.LongType()), T.StructField("seen", T.LongType())])
 
 
-def _repeat(window_us: int):
+def _repeat(window_us: int, expire: bool):
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
@@ -66,20 +66,22 @@ def _repeat(window_us: int):
                     rows.append((int(i), int(last), int(seen)))
                 last, at = int(i), int(us)
         state.update((last, at, seen))
-        state.setTimeoutDuration(max(1000, window_us // 1000))
+        if expire:
+            state.setTimeoutDuration(max(1000, window_us // 1000))
         if rows:
             yield pd.DataFrame(rows, columns=REPEATS.names)
 
     return run
 
 
-def session_repeats(runs: DataFrame, window_s: int = 1800) -> DataFrame:
+def session_repeats(runs: DataFrame, window_s: int = 1800, expire: bool = True) -> DataFrame:
     """``id, prev_id, seen``: runs of a stream whose content repeats one at most so long before (``hash``, ``ts`` and ``id`` columns).
 
-    State is one row per hash and goes when the window has passed.
+    State is one row per hash and goes when the window has passed; ``expire`` is False for replays of files to their end,
+    which timers would keep going.
     """
     r = runs.select("hash", F.col("id").cast("bigint").alias("id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).where("us is not null")
-    return r.groupBy("hash").applyInPandasWithState(_repeat(window_s * 1_000_000), REPEATS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return r.groupBy("hash").applyInPandasWithState(_repeat(window_s * 1_000_000, expire), REPEATS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def write_batches(stream: DataFrame, path: str, checkpoint: str, once: bool = True):

@@ -60,7 +60,7 @@ def test_repeats(spark, tmp_path):
     t = datetime(2025, 1, 1)
     df = spark.createDataFrame([(1, "h", t), (2, "h", t + timedelta(minutes=10)), (3, "h", t + timedelta(hours=2)), (4, "g", t)], "id long, hash string, ts timestamp")
     df.write.parquet(str(tmp_path / "r"))
-    s = streams.session_repeats(spark.readStream.schema(df.schema).parquet(str(tmp_path / "r")))
+    s = streams.session_repeats(spark.readStream.schema(df.schema).parquet(str(tmp_path / "r")), expire=False)
     q = s.writeStream.format("memory").queryName("reps").outputMode("append").trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert [tuple(r) for r in spark.table("reps").collect()] == [(2, 1, 1)]
