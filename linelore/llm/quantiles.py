@@ -2,9 +2,10 @@
 
 The partial result of any part of the data is its table of values with counts; parts (days, files) are combined by adding
 counts, so nothing is lost. From such a table percentiles are read by a full distributed sort: the table is ordered by
-group and value over ranges, each partition counts its first and last group (only those can go on in a neighbour),
-running sums of these at most two rows a partition are the groups' offsets, and each partition then locates the target
-places that fall into it. A group of any size is cut over as many partitions as it needs.
+group and value over ranges and written once, each partition counts its first and last group (only those can go on in a
+neighbour) and those of more than HELD values, running sums of these few rows are the groups' offsets, and each partition
+then locates the target places that fall into it. A group of any size is cut over as many partitions as it needs, and a
+task keeps at most HELD of a group's values.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from linelore.session import shuffle_width
+from linelore.session import cut_lineage, shuffle_width
+
+HELD = 1 << 20  # values of a group that a task may keep in memory
 
 
 def value_counts(df: DataFrame, groups: Sequence[str], value: str) -> DataFrame:
@@ -46,32 +49,34 @@ def _starts(b: pa.RecordBatch | pa.Table, k: int) -> np.ndarray:
     return new
 
 
-def _edges(k: int):
-    """Counts of a partition's first and last group."""
+def _totals(k: int, held: int):
+    """Counts of a partition's first and last group, and of every group with more than ``held`` values in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None  # [key, n]
+        open_: list | None = None  # key, n, rows, whether it is the partition's first
         pid = None
+        out: list[list] = []
         for b in batches:
             if not b.num_rows:
                 continue
             pid = b.column(k + 2)[0].as_py()
             n = b.column(k + 1).to_numpy()
-            at = [0, *(np.flatnonzero(_starts(b, k)) + 1).tolist()]
-            sums = np.add.reduceat(n, at).tolist()
-            keys = {i: tuple(b.column(c)[i].as_py() for c in range(k)) for i in {0, at[-1]}}
-            if first is None:
-                first = last = [keys[0], sums[0]]
-            elif last[0] == keys[0]:
-                last[1] += sums[0]
-            else:
-                last = [keys[0], sums[0]]
-            if len(at) > 1:
-                last = [keys[at[-1]], sums[-1]]
-        if first is not None:
-            rows = [first] if first is last else [first, last]
-            cols = [pa.array([r[0][i] for r in rows], pa.string()) for i in range(k)]
-            yield pa.record_batch([*cols, pa.array([pid] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int64())], names=[*[f"g{i}" for i in range(k)], "pid", "n"])
+            at = np.array([0, *(np.flatnonzero(_starts(b, k)) + 1).tolist()])
+            sums, rows = np.add.reduceat(n, at), np.diff(np.append(at, b.num_rows))
+            for i in [0, *(np.flatnonzero(rows[1:-1] > held) + 1).tolist(), *([len(at) - 1] if len(at) > 1 else [])]:
+                key = tuple(b.column(c)[int(at[i])].as_py() for c in range(k))
+                if open_ is not None and i == 0 and open_[0] == key:
+                    open_[1] += int(sums[i])
+                    open_[2] += int(rows[i])
+                    continue
+                if open_ is not None and (open_[3] or open_[2] > held):
+                    out.append(open_)
+                open_ = [key, int(sums[i]), int(rows[i]), open_ is None]
+        if open_ is not None:
+            out.append(open_)
+        if out:
+            cols = [pa.array([r[0][i] for r in out], pa.string()) for i in range(k)]
+            yield pa.record_batch([*cols, pa.array([pid] * len(out), pa.int32()), pa.array([r[1] for r in out], pa.int64())], names=[*[f"g{i}" for i in range(k)], "pid", "n"])
 
     return run
 
@@ -88,54 +93,81 @@ def ranks(n: np.ndarray, p: float, method: str) -> tuple[np.ndarray, np.ndarray,
 
 
 def _locate(k: int, ps: Sequence[float], method: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry: pa.Table | None = None
+    """The values at the target places of each group, as far as they lie in this partition.
+
+    A group whose total is known is read place by place as its rows pass; any other one lies whole in this partition and
+    has at most ``HELD`` values, which are kept until it ends.
+    """
+    names = [*[f"g{i}" for i in range(k)], "n", *[f"q{j}_{s}" for j in range(len(ps)) for s in ("lo", "hi")]]
 
-        def answer(t: pa.Table) -> pa.RecordBatch:
-            """Of a table of whole groups (as far as they lie in this partition)."""
-            at = np.array([0, *(np.flatnonzero(_starts(t, k)) + 1).tolist()])
-            v, n = t.column(k).to_numpy(), t.column(k + 1).to_numpy()
+    def places(total: np.ndarray) -> list[np.ndarray]:
+        return [r for p in ps for r in ranks(total, p, method)[:2]]
+
+    def inner(t: pa.RecordBatch, at: np.ndarray) -> pa.RecordBatch:
+        """Of rows that hold whole groups, which begin at ``at``."""
+        v, n = t.column(k).to_numpy(), t.column(k + 1).to_numpy()
+        cum, ends = np.cumsum(n), np.append(at[1:], len(n)) - 1
+        base = cum[at] - n[at]
+        total = cum[ends] - base
+        out = [t.column(i).take(pa.array(at)) for i in range(k)] + [pa.array(total)]
+        out += [pa.array(v[np.searchsorted(cum, base + r, "left")].astype(np.float64)) for r in places(total)]
+        return pa.record_batch(out, names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: tuple | None = None
+        off, total, seen = 0, -1, 0
+        found: list[float | None] = []
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def take(v: np.ndarray, n: np.ndarray) -> None:
+            nonlocal seen
+            if total < 0:
+                held.append((v, n))
+                return
             cum = np.cumsum(n)
-            ends = np.append(at[1:], len(n)) - 1
-            base = cum[at] - n[at]
-            here = cum[ends] - base
-            total = pc.fill_null(t.column(k + 4), -1).to_numpy()[at]
-            off = np.where(total >= 0, pc.fill_null(t.column(k + 3), 0).to_numpy()[at], 0)
-            total = np.where(total >= 0, total, here)
-            out = [t.column(i).take(pa.array(at)).combine_chunks() for i in range(k)] + [pa.array(total)]
-            for p in ps:
-                for r in ranks(total, p, method)[:2]:
-                    local = r - off
-                    ok = (local >= 1) & (local <= here)
-                    i = np.minimum(np.searchsorted(cum, base + np.clip(local, 1, here), "left"), len(v) - 1)
-                    out.append(pa.array(v[i].astype(np.float64), mask=~ok))
-            names = [*[f"g{i}" for i in range(k)], "n", *[f"q{j}_{s}" for j in range(len(ps)) for s in ("lo", "hi")]]
-            return pa.record_batch([c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in out], names=names)
-
-        held: list[pa.Table] = []  # parts of the open group
+            for i, r in enumerate(places(np.array([total]))):
+                local = int(r[0]) - off - seen
+                if 1 <= local <= cum[-1]:
+                    found[i] = float(v[np.searchsorted(cum, local, "left")])
+            seen += int(cum[-1])
+
+        def close() -> pa.RecordBatch:
+            size, answer = total, found
+            if size < 0:
+                v, n = (np.concatenate(x) for x in zip(*held))
+                cum = np.cumsum(n)
+                size = int(cum[-1])
+                answer = [float(v[np.searchsorted(cum, r[0], "left")]) for r in places(np.array([size]))]
+            return pa.record_batch([*[pa.array([x], pa.string()) for x in key], pa.array([size], pa.int64()), *[pa.array([x], pa.float64()) for x in answer]], names=names)
+
         for b in batches:
             if not b.num_rows:
                 continue
-            t = pa.Table.from_batches([b])
-            if held:
-                tail = held[-1].slice(held[-1].num_rows - 1)
-                if _starts(pa.concat_tables([tail, t.slice(0, 1)]).combine_chunks(), k)[0]:
-                    yield answer(pa.concat_tables(held).combine_chunks())
-                    held = []
-            cut = np.flatnonzero(_starts(t, k)) + 1
-            if len(cut):
-                c = int(cut[-1])
-                yield answer(pa.concat_tables([*held, t.slice(0, c)]).combine_chunks())
-                held = [t.slice(c)]
-            else:
-                held.append(t)
-        if held:
-            yield answer(pa.concat_tables(held).combine_chunks())
+            at = np.array([0, *(np.flatnonzero(_starts(b, k)) + 1).tolist()])
+            v, n = b.column(k).to_numpy(), b.column(k + 1).to_numpy()
+            known = pc.fill_null(b.column(k + 4), -1).to_numpy()[at]
+            # groups inside the batch in one go; its first and last one, and those with a known total, one by one
+            alone = np.flatnonzero(known >= 0).tolist()
+            stops = sorted({0, len(at) - 1, *alone})
+            ends = np.append(at[1:], b.num_rows)
+            for x, i in enumerate(stops):
+                now = tuple(b.column(c)[int(at[i])].as_py() for c in range(k))
+                if key is None or now != key or i > 0:
+                    if key is not None:
+                        yield close()
+                    key, total, seen, held, found = now, int(known[i]), 0, [], [None] * (2 * len(ps))
+                    off = int(pc.fill_null(b.column(k + 3), 0)[int(at[i])].as_py())
+                take(v[at[i] : ends[i]], n[at[i] : ends[i]])
+                if x + 1 < len(stops) and stops[x + 1] > i + 1:
+                    j = stops[x + 1]
+                    yield inner(b.slice(int(ends[i]), int(at[j] - ends[i])), at[i + 1 : j] - ends[i])
+        if key is not None:
+            yield close()
 
     return run
 
 
-def percentiles(counts: DataFrame, groups: Sequence[str], ps: Sequence[float], method: str = "nearest") -> DataFrame:
+def percentiles(counts: DataFrame, groups: Sequence[str], ps: Sequence[float], method: str = "nearest", held: int = HELD) -> DataFrame:
     """``groups, n, p<..>``: percentiles of the values of a partial result, exact whatever its size.
 
     ``method`` is ``nearest`` (the value at place ceil(n*p/100)) or ``linear`` (between the neighbouring places (n-1)*p/100).
@@ -148,8 +180,9 @@ def percentiles(counts: DataFrame, groups: Sequence[str], ps: Sequence[float], m
     g = [f"g{i}" for i in range(k)]
     src = counts.select(*[F.col(f"`{c}`").cast("string").alias(a) for c, a in zip(groups, g)], F.col("value"), F.col("n").cast("bigint").alias("n"))
     ordered = src.repartitionByRange(width, *g, "value").sortWithinPartitions(*g, "value").withColumn("pid", F.spark_partition_id())
+    ordered = cut_lineage(ordered)  # read twice below: the ranges must be the same ones both times
     gs = ", ".join(f"{x} string" for x in g)
-    edges = ordered.mapInArrow(_edges(k), f"{gs}, pid int, n bigint")  # at most two rows a partition
+    edges = ordered.mapInArrow(_totals(k, held), f"{gs}, pid int, n bigint")  # two rows a partition and one for each HELD values
     w = Window.partitionBy(*g)
     edges = edges.withColumn("total", F.sum("n").over(w)).withColumn("off", F.sum("n").over(w.orderBy("pid")) - F.col("n"))
     edges = edges.select(*[F.col(x).alias(f"e_{x}") for x in g], F.col("pid").alias("e_pid"), "off", "total")

@@ -71,6 +71,27 @@ def test_percentiles(spark, method):
     assert quantiles.percentiles(parts[0].where("false"), ["g", "h"], [50]).count() == 0
 
 
+@pytest.mark.parametrize("width,reuse", [(1, "true"), (7, "false"), (64, "true"), (64, "false")])
+def test_percentiles_do_not_depend_on_reused_exchanges(spark, width, reuse):
+    r = random.Random(8)
+    data = [(r.choice(["hot"] * 5 + ["b", "c", None]), r.randrange(10**6)) for _ in range(6000)]
+    df = spark.createDataFrame(data, "g string, value long")
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.exchange.reuse")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        for held in (quantiles.HELD, 10):  # groups above the bound are read as they pass
+            got = quantiles.percentiles(quantiles.value_counts(df, ["g"], "value"), ["g"], [50, 99], held=held)
+            want = []
+            for g in {x[0] for x in data}:
+                v = sorted(x[1] for x in data if x[0] == g)
+                want.append((g, len(v), *(float(v[-(-len(v) * p // 100) - 1]) for p in (50, 99))))
+            assert rows(got) == sorted(want, key=repr)
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
 def test_runs(spark):
     text = "a 1\r\n\na 2\n \x1b[2ma  3\x1b[0m\nb\nb\nlayer 543cb346 x\nlayer 12345678 x\nlayer a9dc16cd x\n" + "." + "\n.\n\n." * 400
     df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "x\ny\nz"), (5, "Sep 10 02:44:06 q\nSep  1 02:45:06 q\nOct 11 00:00:00 q")], "capture_id long, raw_combined string")
