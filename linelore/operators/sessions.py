@@ -3,7 +3,8 @@
 The plan is a secondary sort by entity and time followed by one linear scan of each partition that keeps a single open
 session. The sort is by ranges of (entity, time), so an entity that holds a third of all rows is cut over many
 partitions; a session that touches an end of its partition is a fragment, and the fragments (at most two a partition,
-whatever the data) are joined by a window afterwards.
+whatever the data) are joined by a window afterwards. Sessions and fragments come from one and the same scan, whose
+result is written once: range bounds are drawn anew for every exchange, so a second scan might be cut elsewhere.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from linelore.functions.paths import directory
-from linelore.session import shuffle_width
+from linelore.session import cut_lineage, shuffle_width
 
 
 def row_digest(df: DataFrame, leave_out: Sequence[str]) -> list[Column]:
@@ -118,7 +119,7 @@ def sessionize(
         .repartitionByRange(shuffle_width(df.sparkSession), "k0", "k1", "t")
         .sortWithinPartitions("k0", "k1", "t", "seq")
     )
-    parts = ordered.mapInArrow(_scan(int(gap_seconds * 1_000_000)), _SCHEMA)
+    parts = cut_lineage(ordered.mapInArrow(_scan(int(gap_seconds * 1_000_000)), _SCHEMA))
     whole = parts.where("not edge").drop("edge")
     w = Window.partitionBy("k0", "k1").orderBy("t0")
     ends = parts.where("edge").withColumn("starts", F.coalesce(F.col("t0") - F.lag("t1").over(w) > int(gap_seconds * 1_000_000), F.lit(True)).cast("int"))

@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linelore.session import ensure_checkpoint_dir
+from linelore.session import drop_at_exit, shared_folder
 from linelore.streaming import streams as S
 
 
 def _drain(spark, stream: DataFrame, mode: str = "complete") -> DataFrame:
     """The result of a stream over all files that are there, written in the shared folder."""
-    ensure_checkpoint_dir(spark)
-    base = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    drop_at_exit(spark, base)
     schema = stream.schema
 
     def sink(batch: DataFrame, n: int) -> None:
@@ -22,6 +22,7 @@ def _drain(spark, stream: DataFrame, mode: str = "complete") -> DataFrame:
 
     q = stream.writeStream.outputMode(mode).foreachBatch(sink).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
     q.awaitTermination()
+    drop_at_exit(spark, f"{base}/state", now=True)
     out = spark.read.schema(schema.add("batch", "long")).parquet(f"{base}/out")
     last = out.agg(F.max("batch").alias("b"))
     return out.join(F.broadcast(last), F.col("batch") == F.col("b")).drop("b", "batch") if mode == "complete" else out.drop("batch")

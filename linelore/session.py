@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,13 +32,39 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder of ``spark.checkpoint.dir``; make one only where none is set (tests, local mode)."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Where none is set, local mode makes one that goes with the process; a cluster
+    has no folder that every executor sees, so that is an error."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
     shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="linelore-ckpt-"))
+    if shared:
+        return shared
+    if not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: name a folder that all executors share")
+    if sc.applicationId not in _LOCAL:
+        _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="linelore-")
+        atexit.register(shutil.rmtree, _LOCAL[sc.applicationId], ignore_errors=True)
+    return _LOCAL[sc.applicationId]
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(shared_folder(spark))
+
+
+def drop_at_exit(spark: SparkSession, folder: str, now: bool = False) -> None:
+    """Delete a folder of intermediate results when the session's file system is closed, or at once."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if now:
+        fs.delete(path, True)
+    else:
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

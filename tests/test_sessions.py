@@ -1,6 +1,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
@@ -34,6 +35,21 @@ def brute(data, gap=timedelta(minutes=30)):
     return sorted(out, key=repr)
 
 
+@pytest.mark.parametrize("width,reuse", [(1, "true"), (7, "false"), (64, "true"), (64, "false")])
+def test_does_not_depend_on_reused_exchanges(spark, width, reuse):
+    r = random.Random(9)
+    data = [(i, T0 + timedelta(seconds=r.randrange(900_000)), "c", r.choice(["/hot", "/hot", "/a"]), r.choice(["s", None]), "", 1) for i in range(3000)]
+    old = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.exchange.reuse")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        spark.conf.set("spark.sql.exchange.reuse", reuse)
+        got = sessions.work_sessions(spark.createDataFrame(data, SCHEMA))
+        assert rows(got.select("first_seq", "last_seq", "n_records")) == brute(data)
+    finally:
+        for c, v in old.items():
+            spark.conf.set(c, v)
+
+
 def test_against_brute_force(spark):
     r = random.Random(4)
     data = []
