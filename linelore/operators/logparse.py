@@ -2,36 +2,45 @@
 
 Frequent position-word mining in two passes over the texts:
 
-1. Every line is cut into tokens; moments and levels become the signs ``<T>`` and ``<L>``. The pairs of position and
-   word among the first tokens are counted per partition and summed over the corpus, per *skeleton* (the line's signs
-   and punctuation without its words).
-2. Words that are frequent at their position in a skeleton are the constants of a template, other words are its slots.
-   A template that holds a moment and a level begins an entry; which slot is the component follows from the template's
-   structure (key words before it, brackets, process ids, host names). Lines whose skeleton is too rare to say
-   (outliers) go through the same rules with the usual key words as constants.
-
-The constants that are sent to the tasks are bounded by MAX_SKELETONS x HEAD_TOKENS words, whatever the corpus.
-Entries are found within each text, so no line is shuffled.
+1. Every line with a moment and a level word is cut into tokens. Its *head* is the line's signs up to both of them: the
+   moment with its way of writing, the level, punctuation as it is, ``w`` for other words and ``n`` for numbers. The pairs
+   of position and token are counted per partition for each head and summed over the corpus.
+2. A head that is frequent in the corpus and whose level word changes from line to line is a template: its level slot is
+   proven to be one. (A level word that never changes is a constant of the text, as in ``info desk``, and a later slot may
+   be the level.) Tokens that nearly all lines have at a place are the template's constants; the component's slot follows
+   from the constants around the slots (key words before it, brackets, dashes and colons behind it).
+
+Lines of a template are entries, with level and component at its places. Lines whose head is too rare to say (outliers)
+go through fallback rules: the level word that stands as a field nearest behind the moment, the component by the usual
+key words and signs. JSON lines name their fields.
+
+A template needs SHARE of all such lines, so there are at most 1 / SHARE of them for each level word in a line,
+whatever the corpus; this is what is sent to the tasks. Entries are found within each text, so no line is shuffled.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections import Counter
 from collections.abc import Iterator
-from datetime import datetime, timedelta, timezone
+from datetime import date, datetime, timedelta
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from linelore.session import cut_lineage
 
-HEAD_TOKENS = 16  # positions of a line that may hold its header
-MAX_SKELETONS = 4096  # most frequent skeletons that are sent to the tasks
-MIN_SUPPORT = 20  # lines of a skeleton below which its words prove nothing
-CONSTANT_SHARE = 0.9  # of a skeleton's lines that have the word at its place
+SHARE = 1e-4  # of all lines with moment and level that a template must have
+MIN_SUPPORT = 20  # lines below which a head proves nothing
+CONSTANT_SHARE = 0.9  # of a template's lines that have the token at its place
+VARIED = 1e-3  # of a template's lines whose level isn't the most frequent one
+KEPT_PAIRS = 200_000  # pairs that a task counts before it hands them on
+PEEK = 96  # characters behind the moment that are read first; a line whose template isn't settled by them is read whole
 
 # The spellings of levels.
 LEVELS = {
@@ -46,8 +55,6 @@ TIME_KEYS = {"time", "ts", "timestamp", "@timestamp", "t", "at", "date"}
 COMPONENT_KEYS = {"component", "logger", "name", "module", "subsystem", "caller", "source"}
 STOP_WORDS = {"in", "at", "by", "from", "of", "pid", "tid", "thread", "host", "msg", "message"}
 
-ANSI = re.compile(r"\x1b(?:\[[0-?]*[ -/]*[@-~]|[\]PX^_][^\x07\x1b]*(?:\x07|\x1b\\)|[ -/]*[0-~])")
-LABEL = re.compile(r"^[A-Za-z][\w.-]*-\d+ +\| ?")
 _MON = "Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec"
 _CLOCK = r"(?P<{0}h>\d\d):(?P<{0}m>\d\d):(?P<{0}s>\d\d)(?:[.,](?P<{0}f>\d{{1,9}}))?"
 MOMENT = re.compile(
@@ -61,123 +68,108 @@ MOMENT = re.compile(
     r"|(?<![\w.:-])(?P<em>1\d{12})(?![\w.:])"
     r")"
 )
-TOKEN = re.compile(r"<T>|[A-Za-z@][\w.@-]*\w|[A-Za-z@]|\d[\w.-]*|[^\sA-Za-z0-9\",]")
-EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+TOKEN = re.compile(r"[A-Za-z@][\w.@-]*\w|[A-Za-z@]|\d[\w.-]*|[^\sA-Za-z0-9\",]")
+EPOCH = datetime(1970, 1, 1)
+DAY_US = 86_400_000_000
 
 
-def _zone(z: str | None) -> timezone:
-    if not z or z in ("Z", "UTC", "GMT"):
-        return timezone.utc
-    z = z.replace(":", "")
-    minutes = int(z[1:3]) * 60 + int(z[3:5])
-    return timezone(timedelta(minutes=-minutes if z[0] == "-" else minutes))
-
-
-def moment_ms(m: re.Match, until: datetime | None) -> int | None:
-    """Milliseconds since 1970 of a moment; what its date lacks makes it the latest one not after ``until``.
-
-    Null for an impossible date, and for a moment without full date where ``until`` is null.
-    """
-    g = m.groupdict()
-    if g["es"]:
-        return int(g["es"]) * 1000 + int((g["ef"] or "0").ljust(3, "0")[:3])
-    if g["em"]:
-        return int(g["em"])
-    p = next(p for p in "icsgt" if g[p + "h"])
-    frac = int((g[p + "f"] or "0").ljust(6, "0")[:6])
-    clock = (int(g[p + "h"]), int(g[p + "m"]), int(g[p + "s"]), frac)
-    zone = _zone(g.get(p + "z"))
-    month = g.get(p + "mo")
-    month = MONTHS.get(month) or (int(month) if month else None)
-    year = g.get(p + "y")
+@functools.lru_cache(maxsize=4096)
+def _day(year: int, month: int, day: int) -> int | None:
+    """Days since 1970, None for an impossible date."""
     try:
-        if year:
-            t = datetime(int(year), month, int(g[p + "d"]), *clock, tzinfo=zone)
-        elif until is None:
-            return None
-        elif month:
-            t = None
-            for y in range(until.year + 1, until.year - 9, -1):  # 29 February may be eight years away
-                try:
-                    t = datetime(y, month, int(g[p + "d"]), *clock, tzinfo=zone)
-                except ValueError:
-                    t = None
-                    continue
-                if t <= until:
-                    break
-            if t is None:
-                return None
-        else:
-            t = datetime(until.year, until.month, until.day, *clock, tzinfo=zone)
-            if t > until:
-                t -= timedelta(days=1)
-    except (ValueError, OverflowError):
+        return date(year, month, day).toordinal() - 719_163
+    except ValueError:
         return None
-    return (t - EPOCH) // timedelta(milliseconds=1)
-
 
-def clean(line: str) -> str:
-    """Without colour codes, line end and the label of the stream."""
-    if "\x1b" in line:
-        line = ANSI.sub("", line)
-    if " | " in line[:64] or " |" in line[:64]:
-        line = LABEL.sub("", line, count=1)
-    return line.rstrip()
 
-
-def tokens(line: str) -> tuple[list[str], re.Match] | None:
-    """The first tokens of a cleaned line with its first moment as ``<T>``; None if the line's head has no moment."""
-    m = MOMENT.search(line)
-    if m is None:
-        return None
-    masked = line[: m.start()] + " <T> " + line[m.end() :]
-    out = []
-    for x in TOKEN.finditer(masked):
-        out.append(x[0])
-        if len(out) == HEAD_TOKENS:
-            break
-    return (out, m) if "<T>" in out else None
+@functools.lru_cache(maxsize=256)
+def _zone_us(z: str | None) -> int:
+    if not z or z in ("Z", "UTC", "GMT"):
+        return 0
+    z = z.replace(":", "")
+    return (-1 if z[0] == "-" else 1) * (int(z[1:3]) * 60 + int(z[3:5])) * 60_000_000
 
 
-def skeleton(toks: list[str]) -> tuple[str, int, int] | None:
-    """Signs and punctuation up to the header's end, with the places of moment and level; None without a level.
+def moment_ms(m: re.Match, until: int | None) -> int | None:
+    """Milliseconds since 1970 of a moment; what its date lacks makes it the latest one not after ``until`` (microseconds).
 
-    The level is the level word nearest to the moment that stands as a field: after a level key, in punctuation or
-    between fields. A single letter in front of the moment is one too.
+    Null for an impossible date, and for a moment without full date where ``until`` is null.
     """
-    at = toks.index("<T>")
-    level = -1
-    keyed = [i for i, t in enumerate(toks) if t.lower() in LEVEL_KEYS and i + 1 < len(toks) and toks[i + 1] in "=:"]
-    if keyed:
-        j = keyed[0] + 1
-        while j < len(toks) and toks[j] in "=:":
-            j += 1
-        if j < len(toks) and (toks[j].lower() in LEVELS or toks[j] in NUMBERS):
-            level = j
-    elif at and toks[at - 1] in LETTERS and at == 1:
-        level = at - 1
-    else:
-        for i in range(at + 1, min(len(toks), at + 10)):
-            if toks[i].lower() in LEVELS:
-                level = i
-                break
-    if level < 0:
+    if m["es"]:
+        return int(m["es"]) * 1000 + int((m["ef"] or "0").ljust(3, "0")[:3])
+    if m["em"]:
+        return int(m["em"])
+    p = next(p for p in "icsgt" if m[p + "h"])
+    h, mi, s = int(m[p + "h"]), int(m[p + "m"]), int(m[p + "s"])
+    if h > 23 or mi > 59 or s > 59:
         return None
-    end = min(len(toks), max(at, level) + 5)  # the fields of a header stand together; behind it is the message
-    out = []
-    for i in range(end):
-        t = toks[i]
-        if i == at:
-            out.append("<T>")
-        elif i == level:
-            out.append("<L>")
-        elif t[0].isalpha() or t[0] == "@":
-            out.append("w")
-        elif t[0].isdigit():
-            out.append("n")
-        else:
-            out.append(t)
-    return " ".join(out), at, level
+    clock = ((h * 60 + mi) * 60 + s) * 1_000_000 + int((m[p + "f"] or "0").ljust(6, "0")[:6])
+    if p == "i" or p == "c" or (p == "s" and m["sy"]):
+        month = m[p + "mo"]
+        day = _day(int(m[p + "y"]), MONTHS.get(month) or int(month), int(m[p + "d"]))
+        return None if day is None else (day * DAY_US + clock - (_zone_us(m[p + "z"]) if p != "s" else 0)) // 1000
+    if until is None:
+        return None
+    today = until // DAY_US
+    if p == "t":
+        day = today if today * DAY_US + clock <= until else today - 1
+        return (day * DAY_US + clock) // 1000
+    month = MONTHS.get(m[p + "mo"]) or int(m[p + "mo"])
+    year = (EPOCH + timedelta(days=today)).year
+    for y in range(year, year - 9, -1):  # 29 February may be eight years away
+        day = _day(y, month, int(m[p + "d"]))
+        if day is not None and day * DAY_US + clock <= until:
+            return (day * DAY_US + clock) // 1000
+    return None
+
+
+def head_kind(m: re.Match) -> str:
+    """The sign of a moment by its way of writing."""
+    return "<T" + ("e" if m["es"] or m["em"] else next(p for p in "icsgt" if m[p + "h"])) + ">"
+
+
+class _Signs(dict):
+    """The sign of a token wherever it stands."""
+
+    def __missing__(self, t: str) -> str:
+        if len(self) > 100_000:
+            self.clear()
+        c = t[0]
+        s = ("L" if t.lower() in LEVELS else "w") if c.isalpha() or c == "@" else "n" if c.isdigit() else t
+        self[t] = s
+        return s
+
+
+_SIGNS = _Signs()
+
+
+def tokens(line: str, m: re.Match, stop: int | None = None) -> tuple[list[str], list[str], int]:
+    """The tokens of a line (up to ``stop``) with its moment, their signs, and the moment's place; levels have the sign ``L``."""
+    toks = TOKEN.findall(line, 0, m.start())
+    at = len(toks)
+    toks.append("<T>")
+    toks += TOKEN.findall(line, m.end(), len(line) if stop is None else stop)
+    signs = [_SIGNS[t] for t in toks]
+    signs[at] = head_kind(m)
+    if at == 1 and toks[0] in LETTERS:
+        signs[0] = "L"
+    elif "n" in signs:
+        for i, t in enumerate(toks):
+            if signs[i] == "n" and t in NUMBERS and i > 1 and toks[i - 1] in "=:" and toks[i - 2].lower() in LEVEL_KEYS:
+                signs[i] = "L"
+    return toks, signs, at
+
+
+def fallback_level(toks: list[str], signs: list[str], at: int) -> int:
+    """The place of an outlier's level, -1 for none: behind a level key, or the first level word behind the moment (else the last
+    before it) that is written large, stands in signs of its own, or has no more than two words (host, component) before it."""
+    places = [i for i, s in enumerate(signs) if s == "L"]
+    for i in places:
+        if i > 1 and toks[i - 1] in "=:" and toks[i - 2].lower() in LEVEL_KEYS:
+            return i
+    fenced = lambda i: i > 0 and toks[i - 1] in "[(<-|/:=" and i + 1 < len(toks) and toks[i + 1] in "])>-|/:="
+    stated = [i for i in places if toks[i].isupper() or fenced(i) or (i > at and sum(s in "wn" for s in signs[at + 1 : i]) <= 2)]
+    return next((i for i in stated if i > at), stated[-1] if stated else -1)
 
 
 HOST = re.compile(r"^[A-Za-z][A-Za-z0-9]*-\d+$")
@@ -221,103 +213,177 @@ def _json_entry(line: str) -> tuple[str, str, re.Match] | None:
 
 
 class Templates:
-    """The mined constants, and the plan of each template once it was seen."""
-
-    def __init__(self, constants: dict[tuple[str, int], str]):
-        self.constants = constants
-        self.skeletons = {s for s, _ in constants}
-
-    def entry(self, line: str, until: datetime | None) -> tuple[int, str, str, int] | None:
+    """The mined templates (head to its constants by place), and the component's place of each once it was seen."""
+
+    def __init__(self, mined: dict[str, dict[int, str]]):
+        self.mined = mined
+        self.component: dict[str, int | None] = {}
+
+    def place_of_component(self, head: str, toks: list[str], signs: list[str], at: int, level: int) -> int | None:
+        """By the template where a slot of it says so, else (None or beyond its last constant) by the line."""
+        if head in self.component and (i := self.component[head]) is not None:
+            return i if i < len(signs) and signs[i] == "w" else component_at(toks, signs, at, level, set())
+        constants = self.mined.get(head)
+        if constants is None:
+            return component_at(toks, signs, at, level, set())
+        same = {i for i, t in constants.items() if i < len(toks) and toks[i] == t and signs[i] == "w"}
+        i = component_at(toks, signs, at, level, same)
+        if head not in self.component and i is not None and i <= max(at, level, *constants):
+            self.component[head] = i
+        return i
+
+    def template(self, signs: list[str], at: int) -> tuple[int, str]:
+        """The level's place and the template of a line; -1 for an outlier."""
+        i = -1
+        for _ in range(signs.count("L")):
+            i = signs.index("L", i + 1)
+            head = " ".join(signs[: max(at, i) + 1])
+            if head in self.mined:
+                return i, head
+        return -1, ""
+
+    def entry(self, line: str, until: int | None) -> tuple[int, str, str, int] | None:
         """ts_ms, level, component and the message's offset for a line that begins an entry, else None."""
         if line[:1] == "{" and line[-1] == "}":  # fields have names here, in any order
             j = _json_entry(line)
             if j is None:
                 return None
             word, comp, m = j
+            start = 0
         else:
-            got = tokens(line)
-            if got is None:
+            m = MOMENT.search(line)
+            if m is None:
                 return None
-            toks, m = got
-            s = skeleton(toks)
-            if s is None:
-                return None
-            text, at, level = s
-            skel = text.split(" ")
-            word = toks[level]
-            constant = {i for i, x in enumerate(skel) if x == "w" and self.constants.get((text, i)) == toks[i]}
-            i = component_at(toks, skel, at, level, constant)
+            stop = m.end() + PEEK
+            toks, signs, at = tokens(line, m, stop)
+            level, head = self.template(signs, at)
+            known = self.component.get(head)
+            if stop < len(line) and (level < 0 or known is None or max(level, known) + 2 >= len(toks)):  # the rest may count
+                toks, signs, at = tokens(line, m)
+                level, head = self.template(signs, at)
+            if level < 0:  # an outlier
+                level = fallback_level(toks, signs, at)
+                if level < 0:
+                    return None
+            word, start = toks[level], m.end()
+            i = self.place_of_component(head, toks, signs, at, level)
             comp = toks[i] if i is not None else ""
             if i is not None and i + 1 < len(toks) and toks[i + 1] == ":" and EXTENSION.search(comp):
                 comp = EXTENSION.sub("", comp)
         name = LEVELS.get(word.lower()) or LETTERS.get(word) or NUMBERS.get(word)
         ts = moment_ms(m, until)
-        if name is None or ts is None:
-            return None
-        return ts, name, comp, m.end() if line[0] != "{" else 0
+        return None if name is None or ts is None else (ts, name, comp, start)
+
+
+# What a line must hold to be looked at: for whole columns at once, by an engine that knows no context.
+_RE2_ANSI = r"\x1b(?:\[[0-?]*[ -/]*[@-~]|[\]PX^_][^\x07\x1b]*(?:\x07|\x1b\\)|[ -/]*[0-~])"
+_RE2_LABEL = r"^[A-Za-z][\w.-]*-[0-9]+ +\| ?"
+_RE2_MOMENT = r"[0-9]{2}:[0-9]{2}:[0-9]{2}|1[0-9]{9}"
+_RE2_LEVEL = r"(?i)trace|debug|info|notice|warn|err|severe|fatal|crit|emerg|level|lvl|severity|^[TDIWEF][01][0-9][0-3][0-9] "
+
+
+def clean_lines(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lines of many texts without colour codes, line ends and labels of streams, and the place at which each text begins."""
+    parts = pc.split_pattern(pc.fill_null(texts, ""), "\n")
+    flat = parts.flatten()
+    if pc.any(pc.match_substring(flat, "\x1b")).as_py():
+        flat = pc.replace_substring_regex(flat, _RE2_ANSI, "")
+    flat = pc.replace_substring_regex(flat, _RE2_LABEL, "")
+    sizes = pc.list_value_length(parts).to_numpy(zero_copy_only=False)
+    return pc.utf8_rtrim_whitespace(flat), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def _mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
-    lines: Counter = Counter()
-    for b in batches:
-        for text in b.column(0).to_pylist():
-            if not text:
-                continue
-            for line in text.split("\n"):
-                got = tokens(clean(line))
-                s = got and skeleton(got[0])
-                if not s:
-                    continue
-                lines[s[0]] += 1
-                for i, x in enumerate(s[0].split(" ")):
-                    if x == "w":
-                        counts[s[0], i, got[0][i]] += 1
-    schema = pa.schema([("skeleton", pa.string()), ("place", pa.int32()), ("word", pa.string()), ("n", pa.int64())])
-    keys, step = [*[(s, -1, "", n) for s, n in lines.items()], *[(*k, n) for k, n in counts.items()]], 50_000
-    for i in range(0, len(keys), step):
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*keys[i : i + step]), schema)], schema=schema)
+    levels: Counter = Counter()  # of (head, level word)
+    places: dict[str, list[dict[str, int]]] = {}  # of a head, the tokens at each place
+    schema = pa.schema([("head", pa.string()), ("place", pa.int32()), ("token", pa.string()), ("n", pa.int64())])
 
+    def out() -> pa.RecordBatch:
+        rows = [(h, -1, t, n) for (h, t), n in levels.items()] + [(h, j, t, n) for h, ps in places.items() for j, p in enumerate(ps) for t, n in p.items()]
+        levels.clear()
+        places.clear()
+        return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-def mine_constants(texts: DataFrame, text: str = "text") -> DataFrame:
-    """``skeleton, place, word``: the words that are frequent at their place, of the most frequent skeletons."""
-    pairs = texts.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(_mine, "skeleton string, place int, word string, n bigint")
-    pairs = cut_lineage(pairs.groupBy("skeleton", "place", "word").agg(F.sum("n").alias("n")))  # read twice below
-    total = pairs.where("place = -1").where(F.col("n") >= MIN_SUPPORT).orderBy(F.desc("n"), "skeleton").limit(MAX_SKELETONS)
-    total = total.select("skeleton", F.col("n").alias("lines"))
-    return pairs.where("place >= 0").join(F.broadcast(total), "skeleton").where(F.col("n") >= CONSTANT_SHARE * F.col("lines")).select("skeleton", "place", "word")
+    for b in batches:
+        for k in range(0, b.num_rows, 256):
+            flat, _ = clean_lines(b.column(0).slice(k, 256))
+            looks = pc.and_(pc.match_substring_regex(flat, _RE2_MOMENT), pc.match_substring_regex(flat, _RE2_LEVEL))
+            for line in flat.filter(looks).to_pylist():
+                if line[0] == "{" and line[-1] == "}":
+                    continue
+                m = MOMENT.search(line)
+                if m is None:
+                    continue
+                toks, signs, at = tokens(line, m)
+                n = signs.count("L")
+                if not n:
+                    continue
+                levels["", ""] += 1
+                i = -1
+                for _ in range(n):
+                    i = signs.index("L", i + 1)
+                    head = " ".join(signs[: max(at, i) + 1])
+                    levels[head, toks[i].lower()] += 1
+                    ps = places.setdefault(head, [])
+                    while len(ps) < len(toks):
+                        ps.append({})
+                    for p, t in zip(ps, toks):
+                        p[t] = p.get(t, 0) + 1
+            if sum(len(p) for ps in places.values() for p in ps) > KEPT_PAIRS:
+                yield out()
+    if levels:
+        yield out()
+
+
+def mine_templates(texts: DataFrame, text: str = "text") -> DataFrame:
+    """``head, place, token``: the constants of the corpus' templates; place -1 stands for the template itself."""
+    pairs = texts.select(F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(_mine, "head string, place int, token string, n bigint")
+    pairs = cut_lineage(pairs.groupBy("head", "place", "token").agg(F.sum("n").alias("n")))  # read twice below
+    seen = pairs.where("place = -1").groupBy("head").agg(F.sum("n").alias("lines"), F.max("n").alias("most"))
+    every = seen.where("head = ''").agg(F.sum("lines")).first()[0] or 0
+    support, varied = max(float(MIN_SUPPORT), SHARE * every), F.greatest(F.lit(2.0), F.lit(VARIED) * F.col("lines"))
+    frequent = seen.where("head <> ''").where((F.col("lines") >= support) & (F.col("lines") - F.col("most") >= varied)).select("head", "lines")
+    constant = pairs.where("place >= 0 and token <> '<T>'").join(F.broadcast(frequent), "head").where(F.col("n") >= F.lit(CONSTANT_SHARE) * F.col("lines"))
+    return constant.select("head", "place", "token").unionByName(frequent.select("head", F.lit(-1).alias("place"), F.lit("").alias("token")))
 
 
 ENTRY_SCHEMA = "record_id bigint, first_line bigint, last_line bigint, ts_ms bigint, level string, component string, message string"
+_ARROW = pa.schema([("record_id", pa.int64()), ("first_line", pa.int64()), ("last_line", pa.int64()), ("ts_ms", pa.int64()), ("level", pa.string()), ("component", pa.string()), ("message", pa.string())])
+
+
+def _assign(mined: dict[str, dict[int, str]], with_message: bool):
+    def some(t: Templates, b: pa.RecordBatch) -> pa.RecordBatch | None:
+        flat, starts = clean_lines(b.column(1))
+        untils = b.column(2).to_pylist()
+        at = np.flatnonzero(pc.match_substring_regex(flat, _RE2_MOMENT).to_numpy(zero_copy_only=False))
+        owner = np.searchsorted(starts, at, "right") - 1
+        found, rows = [], []
+        for i, d, line in zip(at.tolist(), owner.tolist(), flat.take(pa.array(at)).to_pylist()):
+            e = t.entry(line, untils[d])
+            if e is not None:
+                found.append(i)
+                rows.append((d, *e))
+        if not found:
+            return None
+        first = np.array(found)
+        d = np.array([r[0] for r in rows])
+        stop = np.minimum(np.append(first[1:], len(flat)), starts[d + 1])
+        full = pc.greater(pc.utf8_length(pc.utf8_ltrim_whitespace(flat)), 0).to_numpy(zero_copy_only=False)
+        last = np.maximum.accumulate(np.where(full, np.arange(len(flat)), -1))[stop - 1]
+        text = pa.nulls(len(first), pa.string())
+        if with_message:
+            ls = flat.to_pylist()
+            text = pa.array(["\n".join([ls[i][r[4] :].strip(), *ls[i + 1 : j + 1]]).rstrip() for i, j, r in zip(found, last.tolist(), rows)], pa.string())
+        cols = [b.column(0).take(pa.array(d)), pa.array(first - starts[d] + 1), pa.array(last - starts[d] + 1), *(pa.array([r[k] for r in rows], _ARROW.field(k + 2).type) for k in (1, 2, 3)), text]
+        return pa.record_batch(cols, schema=_ARROW)
 
-
-def _assign(constants: dict[tuple[str, int], str], with_message: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = Templates(constants)
-        schema = pa.schema([("record_id", pa.int64()), ("first_line", pa.int64()), ("last_line", pa.int64()), ("ts_ms", pa.int64()), ("level", pa.string()), ("component", pa.string()), ("message", pa.string())])
+        t = Templates(mined)
         for b in batches:
-            rows: list[tuple] = []
-            for rid, text, until in zip(*(b.column(i).to_pylist() for i in range(3))):
-                if not text:
-                    continue
-                until = EPOCH + timedelta(microseconds=until) if until is not None else None
-                open_, last = None, 0
-                body: list[str] = []
-                for no, raw in enumerate(text.split("\n"), 1):
-                    line = clean(raw)
-                    e = t.entry(line, until) if line else None
-                    if e is not None:
-                        if open_ is not None:
-                            rows.append((rid, open_[0], last, *open_[1], "\n".join(body).rstrip() if with_message else None))
-                        open_, body = (no, e[:3]), [line[e[3] :].strip()]
-                    elif open_ is not None and with_message:
-                        body.append(line)
-                    if line.strip():
-                        last = no
-                if open_ is not None:
-                    rows.append((rid, open_[0], last, *open_[1], "\n".join(body).rstrip() if with_message else None))
-            if rows:
-                yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+            for k in range(0, b.num_rows, 256):
+                out = some(t, b.slice(k, 256))
+                if out is not None:
+                    yield out
 
     return run
 
@@ -330,10 +396,11 @@ def parse_entries(df: DataFrame, record_id: str, text: str, until: str, with_mes
     is the latest one not after ``until`` (with a null ``until`` such a line begins no entry). Equal rows give equal
     entries. An entry without component has an empty one.
     """
-    mined = mine_constants(df, text).collect()  # at most MAX_SKELETONS x HEAD_TOKENS rows
-    constants = {(r.skeleton, r.place): r.word for r in mined}
+    mined: dict[str, dict[int, str]] = {}
+    for r in mine_templates(df, text).collect():  # bounded by SHARE
+        mined.setdefault(r.head, {}).update({r.place: r.token} if r.place >= 0 else {})
     src = df.select(F.col(f"`{record_id}`").cast("bigint"), F.col(f"`{text}`").cast("string"), F.unix_micros(F.col(f"`{until}`").cast("timestamp")))
-    return src.mapInArrow(_assign(constants, with_message), ENTRY_SCHEMA)
+    return src.mapInArrow(_assign(mined, with_message), ENTRY_SCHEMA)
 
 
 def stamp_ms(df: DataFrame, column: str = "timestamp") -> DataFrame:

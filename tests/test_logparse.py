@@ -50,3 +50,39 @@ def test_stamps(spark):
     cases = {"2025-09-04T10:13:28.572738232Z": ms(2025, 9, 4, 10, 13, 28) + 572, "2025-09-09T22:38:11.826+05:30": ms(2025, 9, 9, 17, 8, 11) + 826, "2025-09-16 18:50:07.3": ms(2025, 9, 16, 18, 50, 7) + 300, "2025/09/26 11:29:45 UTC": ms(2025, 9, 26, 11, 29, 45), "1758048105": 1758048105000, "1758713700819": 1758713700819, "n/a": None, "": None, None: None, "2025-09": None, "202": None, "2025-13-45T00:00:00Z": None}
     df = spark.createDataFrame([(k,) for k in cases], "timestamp string")
     assert {r.timestamp: r.ts_ms for r in logparse.stamp_ms(df).collect()} == cases
+
+
+def _entries(spark, texts, **kw):
+    df = spark.createDataFrame([(i, t, UNTIL) for i, t in enumerate(texts)], "id long, t string, u timestamp_ntz")
+    return logparse.parse_entries(df, "id", "t", "u", **kw)
+
+
+def test_templates_decide(spark):
+    """A word that spells a level but never changes is a constant: the template finds the slot behind it, the fallback rules don't."""
+    levels = ["WARN", "ERROR", "INFO"]
+    lines = [f"2025-09-01T10:00:{i % 60:02} info desk {['north', 'south'][i % 2]} says {levels[i % 3]} from unit {i}" for i in range(120)]
+    got = {r.record_id: r.level for r in _entries(spark, lines).collect()}
+    assert got == {i: levels[i % 3] for i in range(120)}
+    # without templates every such line would be read by the fallback rules
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array([1]), pa.array(["\n".join(lines)]), pa.array([0])], names=["a", "b", "c"])
+    bare = [r["level"] for b in logparse._assign({}, False)(iter([batch])) for r in b.to_pylist()]
+    assert bare == ["INFO"] * 120
+
+
+def test_headers_of_any_length(spark):
+    """Neither the moment nor the level nor the component has to stand near the line's begin."""
+    far = [f"{' '.join(f'k{j}={j}' for j in range(30))} time=2025-09-01T10:00:00Z {' '.join(f'x{j}={j}' for j in range(30))} level={['info', 'error'][i % 2]} thread={i} pool=p component=cron_{i % 3} msg=x" for i in range(60)]
+    got = {r.record_id: (r.level, r.component) for r in _entries(spark, far).collect()}
+    assert got == {i: (["INFO", "ERROR"][i % 2], f"cron_{i % 3}") for i in range(60)}
+    one = _entries(spark, far[:1]).collect()[0]  # an outlier
+    assert (one.level, one.component) == ("INFO", "cron_0")
+    label = "web" + "x" * 80 + "-12 | 2025-09-01T10:00:00Z WARN [cron] said"
+    assert [(r.level, r.component) for r in _entries(spark, [label]).collect()] == [("WARN", "cron")]
+
+
+def test_a_level_in_the_message_is_no_header(spark):
+    lines = [f"[10:00:{i % 60:02}] socket of peer {i} closed after some error in read" for i in range(40)]
+    assert _entries(spark, lines[:3]).count() == 0
+    assert _entries(spark, lines).count() == 0
