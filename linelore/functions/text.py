@@ -173,16 +173,28 @@ def failure_kind(line: Column) -> Column:
     return out
 
 
+# Words and fragments that say what a log line is. Fixed values.
 LOG_WORDS = {
     "error": "panic|fatal|error|failed|failure|exception|traceback|assertionerror",
     "hint": "warning|warn|hint|help|note",
-    "boilerplate": "debug|info|trace|progress|downloading|downloaded|fetching|installing|installed|resolving",
+    "boilerplate": "debug|info|trace|progress|downloading|downloaded|fetching|installing|installed|resolving|waiting|retrying|connected|heartbeat",
 }
+LOG_PARTS = {"error": "segmentation fault", "anchor": "^at |^#|caused by:", "boilerplate": "listening on|watching for changes"}
 
 
 def log_kind(line: Column) -> Column:
-    """4 error, 3 anchor, 2 hint, 1 boilerplate, 0 other: by the first three fields of a line."""
-    low = F.lower(trim(line))
-    fields = F.slice(F.filter(F.transform(F.split(low, r"[ \t\[\](){}<>|=]+"), lambda x: F.regexp_replace(x, "^[:.,;!?\"'`*-]+|[:.,;!?\"'`*-]+$", "")), lambda x: x != ""), 1, 3)
-    has = lambda k: F.exists(fields, lambda x: x.rlike(f"(?:{LOG_WORDS[k]})$"))
-    return F.when(low == "", 1).when(has("error"), 4).when(anchor(line) != "", 3).when(has("hint"), 2).when(has("boilerplate"), 1).otherwise(0)
+    """4 error, 3 anchor, 2 hint, 1 boilerplate, 0 other: by the first three fields of a line and by fragments."""
+
+    def of(low: Column) -> Column:
+        parts = F.filter(F.transform(F.split(low, r"[ \t\[\](){}<>|=]+"), lambda x: F.regexp_replace(x, "^[:.,;!?\"'`*-]+|[:.,;!?\"'`*-]+$", "")), lambda x: x != "")
+
+        def kind(fields: Column) -> Column:
+            has = lambda k: F.exists(fields, lambda x: x.rlike(f"(?:{LOG_WORDS[k]})$"))
+            return (
+                F.when(low == "", 1).when(low.contains(LOG_PARTS["error"]) | has("error"), 4).when((anchor(line) != "") | low.rlike(LOG_PARTS["anchor"]), 3)
+                .when(has("hint"), 2).when(low.rlike(LOG_PARTS["boilerplate"]) | has("boilerplate"), 1).otherwise(0)
+            )
+
+        return let(F.slice(parts, 1, 3), kind)
+
+    return let(F.lower(trim(line)), of)

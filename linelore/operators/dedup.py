@@ -43,9 +43,16 @@ def exact_repeats(runs: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
 
 
 def delta_baselines(runs: DataFrame, window_s: int = WINDOW_S) -> DataFrame:
-    """``id, prev_id``: the newest earlier run of the command in the directory, unless its exit differs or its output is the same."""
-    p = previous_within(runs, ["fingerprint", "cwd"], "ts", "id", window_s).where("prev is not null")
-    return p.where("prev.exit_code = exit_code and prev.raw_hash <> raw_hash").select("id", F.col("prev.id").alias("prev_id"))
+    """``id, prev_id``: the newest earlier run of the command in its directory and scope.
+
+    None if that run's exit differs, its stored output is truncated, or the output is the same; an older run doesn't
+    stand in for it. ``scope`` and ``truncated`` may be missing from ``runs``: then all have one scope and none is truncated.
+    """
+    for c, v in (("scope", F.lit("")), ("truncated", F.lit(False))):
+        if c not in runs.columns:
+            runs = runs.withColumn(c, v)
+    p = previous_within(runs, ["fingerprint", "cwd", "scope"], "ts", "id", window_s).where("prev is not null")
+    return p.where("prev.exit_code = exit_code and prev.raw_hash <> raw_hash and not coalesce(prev.truncated, false)").select("id", F.col("prev.id").alias("prev_id"))
 
 
 def line_diff(pairs: DataFrame, old: str, new: str) -> DataFrame:
@@ -77,6 +84,12 @@ def verified(artifacts: DataFrame, data: str = "data", stated: str = "artifact_h
     return artifacts.withColumn("ok", F.coalesce(F.sha2(F.col(data), 256) == F.col(stated), F.lit(False)))
 
 
+def expand(index: DataFrame, artifacts: DataFrame, ref: str) -> DataFrame:
+    """The stored bytes of the newest entry that a reference names, with ``ok`` for an unchanged artifact."""
+    e = find_reference(index, ref).select("artifact_path", "artifact_hash")
+    return verified(artifacts.join(F.broadcast(e), artifacts["path"] == e["artifact_path"]).drop("artifact_path"))
+
+
 def find_reference(index: DataFrame, ref: str) -> DataFrame:
     """The newest entry whose hash begins with a reference of at least four digits."""
     ref = ref.strip().lower()
@@ -88,12 +101,15 @@ def find_reference(index: DataFrame, ref: str) -> DataFrame:
 def hint_lookup(runs: DataFrame, hints: DataFrame) -> DataFrame:
     """``id, hint_id``: the hint of a run's profile that hasn't expired; one for its fingerprint goes first, then the latest expiry.
 
-    The hints of a profile are few; they are joined on the profile and, for skew, without moving the runs when they are
-    small enough for the planner to broadcast.
+    Of the hints for one profile and fingerprint only the one that expires last can win, so each side has one row per
+    key and no run is multiplied. Runs without a valid hint are left out; of equal expiries the smallest id counts.
     """
-    h = hints.select("hint_id", F.col("profile"), F.col("fingerprint").alias("h_fp"), "expires_at")
-    m = runs.select("id", "profile", "fingerprint", "ts").join(h, "profile").where("ts < expires_at and (h_fp is null or h_fp = fingerprint)")
-    return m.groupBy("id").agg(F.min_by("hint_id", F.struct(F.col("h_fp").isNull(), -F.unix_micros(F.col("expires_at").cast("timestamp")), "hint_id")).alias("hint_id"))
+    best = F.min(F.struct((-F.unix_micros(F.col("expires_at").cast("timestamp"))).alias("e"), "hint_id", "expires_at"))
+    wide = hints.where("fingerprint is null").groupBy("profile").agg(best.alias("w"))
+    fine = hints.where("fingerprint is not null").groupBy("profile", "fingerprint").agg(best.alias("f"))
+    m = runs.select("id", "profile", "fingerprint", "ts").join(fine, ["profile", "fingerprint"], "left").join(wide, "profile", "left")
+    valid = lambda c: F.when(F.col("ts") < F.col(f"{c}.expires_at"), F.col(f"{c}.hint_id"))
+    return m.select("id", F.coalesce(valid("f"), valid("w")).alias("hint_id")).where("hint_id is not null")
 
 
 def hint_rollback(outcomes: DataFrame, least: int = 5, harmful_pct: float = 20.0) -> DataFrame:

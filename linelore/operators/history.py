@@ -5,6 +5,8 @@ All reports are single aggregations over the hydrated rows; nothing is collected
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,10 +33,12 @@ def command_key(c: Column) -> Column:
     return F.array_join(F.slice(words(c), 1, 3), " ")
 
 
-def excluded_command(c: Column) -> Column:
-    """Commands kept out of savings: removal of the tool itself."""
+def excluded_command(c: Column, own: Sequence[str] = ()) -> Column:
+    """Commands kept out of savings: ``uninstall``, bare or behind one of the names (``own``) that the tool itself runs under."""
     w = words(F.lower(c))
-    return (F.element_at(w, 1) == "uninstall") | F.coalesce((F.try_element_at(w, F.lit(2)) == "uninstall") & F.element_at(w, 1).rlike("^[a-z]{3}$"), F.lit(False))
+    first, second = F.element_at(w, 1), F.coalesce(F.try_element_at(w, F.lit(2)), F.lit(""))
+    wrapped = first.isin(*own) & (second == "uninstall") if own else F.lit(False)
+    return (first == "uninstall") | wrapped
 
 
 def hydrate(df: DataFrame) -> DataFrame:
@@ -71,6 +75,26 @@ def nearest_rank(c: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {c})").cast("bigint")
 
 
+def with_percentiles(h: DataFrame, groups: Sequence[str], value: str, ps: dict[str, float]) -> DataFrame:
+    """``groups`` and nearest-rank percentiles of a whole-numbered value, for few groups of any size.
+
+    Values are counted first. The place is then looked for in two steps, among the values' ranges of 65,536 and within the
+    one range that holds it, so a task sees the ranges of a group or the values of one range, never all values.
+    """
+    v = h.groupBy(*groups, F.col(value).cast("bigint").alias("v")).agg(F.count("*").alias("n")).withColumn("hi", F.shiftright("v", 16))
+    w = Window.partitionBy(*groups)  # ranges of a group
+    r = v.groupBy(*groups, "hi").agg(F.sum("n").alias("n")).withColumn("total", F.sum("n").over(w)).withColumn("before", F.sum("n").over(w.orderBy("hi")) - F.col("n"))
+    place = F.array(*[F.struct(F.lit(k).alias("name"), F.greatest(F.lit(1), F.floor((F.col("total") * F.lit(round(p * 1000)) + 999) / 1000)).alias("at")) for k, p in ps.items()])
+    r = r.select(*groups, "hi", "n", "before", F.explode(place).alias("p")).where("p.at > before and p.at <= before + n")
+    same = [F.col(f"a.{g}").eqNullSafe(F.col(f"b.{g}")) for g in groups]
+    on = F.col("a.hi") == F.col("b.hi")
+    for c in same:
+        on &= c
+    inner = v.alias("a").join(r.alias("b"), on).select(*[F.col(f"a.{g}").alias(g) for g in groups], "a.v", F.col("a.n").alias("n"), "b.p.name", (F.col("b.p.at") - F.col("b.before")).alias("at"))
+    inner = inner.withColumn("upto", F.sum("n").over(Window.partitionBy(*groups, "name").orderBy("v"))).where("upto >= at")
+    return inner.groupBy(*groups).agg(*[F.min(F.when(F.col("name") == k, F.col("v"))).alias(k) for k in ps])
+
+
 def exact_sum(c: str) -> Column:
     """Sum of percentages with two decimals, free of rounding in any order of rows."""
     return F.sum(F.col(c).cast("decimal(18,4)")).cast("double")
@@ -97,9 +121,9 @@ def counters() -> dict[str, Column]:
     }
 
 
-def fold_totals(df: DataFrame) -> DataFrame:
-    """Additive counters of archived rows: one row, combinable with others by adding."""
-    h = hydrate(df).where(~F.coalesce(excluded_command(F.col("command")), F.lit(False)))
+def fold_totals(df: DataFrame, own: Sequence[str] = ()) -> DataFrame:
+    """Additive counters of archived rows: one row, combinable with others by adding. ``own``: see ``excluded_command``."""
+    h = hydrate(df).where(~F.coalesce(excluded_command(F.col("command"), own), F.lit(False)))
     return h.agg(*[F.coalesce(c, F.lit(0)).alias(k) for k, c in counters().items()])
 
 
@@ -126,11 +150,17 @@ def with_rates(t: DataFrame) -> DataFrame:
     )
 
 
+_DURATIONS = {"duration_p50_ms": 0.5, "duration_p95_ms": 0.95}
+
+
 def summary(df: DataFrame) -> DataFrame:
     """One row: counts, sums, rates, and the median and 95th percentile of durations of all runs."""
     h = hydrate(df)
-    t = h.agg(*[F.coalesce(c, F.lit(0)).alias(k) for k, c in counters().items()], F.coalesce(nearest_rank("duration_ms", 0.5), F.lit(0)).alias("duration_p50_ms"), F.coalesce(nearest_rank("duration_ms", 0.95), F.lit(0)).alias("duration_p95_ms"))
-    return with_rates(t).drop("savings_pct_sum")
+    one = F.lit(1).alias("k")
+    t = h.agg(one, *[F.coalesce(c, F.lit(0)).alias(k) for k, c in counters().items()])
+    q = with_percentiles(h.select(one, "duration_ms"), ["k"], "duration_ms", _DURATIONS)
+    t = t.join(q, "k", "left").drop("k")
+    return with_rates(t.withColumns({k: F.coalesce(F.col(k), F.lit(0)) for k in _DURATIONS})).drop("savings_pct_sum")
 
 
 def by_command(df: DataFrame, limit: int | None = None) -> DataFrame:
@@ -156,9 +186,9 @@ def by_profile(df: DataFrame) -> DataFrame:
         percent(F.count_if(F.col("fallback_used")), n).alias("fallback_rate"),
         percent(F.count_if(F.col("empty_result")), n).alias("empty_result_rate"),
         percent(F.count_if(F.col("tee_path") != ""), n).alias("tee_rate"),
-        nearest_rank("duration_ms", 0.5).alias("duration_p50_ms"),
-        nearest_rank("duration_ms", 0.95).alias("duration_p95_ms"),
     )
+    q = with_percentiles(h, ["profile"], "duration_ms", _DURATIONS).withColumnRenamed("profile", "p")
+    g = g.join(q, F.col("profile").eqNullSafe(F.col("p"))).drop("p")
     return g.join(conf, "profile", "left").withColumn("confidence", F.coalesce("confidence", F.lit("")))
 
 

@@ -74,13 +74,25 @@ def json_profile(df: DataFrame, column: str) -> DataFrame:
     return e.groupBy("key", "type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("greatest"))
 
 
+# The order in which the keys of an object are shown: keys as they are, then endings and parts of keys. Fixed values.
+KEY_NAMES = (
+    ("id", "ids", "uuid", "uid", "ocid", "arn", "name", "displayname", "display_name", "title", "slug"),
+    ("status", "state", "phase", "health", "healthstatus", "health_status", "severity", "level"),
+    ("timestamp", "time", "createdat", "created_at", "updatedat", "updated_at", "modifiedat", "modified_at"),
+    ("error", "errors", "message", "reason", "code", "description"),
+)
+KEY_PARTS = ((4, r"id$"), (5, "name"), (6, "status|state"), (7, "time|date"), (8, "error|message|reason"))
+
+
 def key_priority(key: Column) -> Column:
-    """The order in which the keys of an object are shown: names, states, times and errors first."""
-    k = F.lower(key)
-    return (
-        F.when(k.isin("id", "name"), 0).when(k.isin("status", "state"), 1).when(k.isin("time", "timestamp", "created_at", "updated_at"), 2).when(k.isin("error", "message"), 3)
-        .when(k.endswith("_id"), 4).when(k.contains("name"), 5).when(k.contains("status"), 6).when(k.contains("time"), 7).when(k.contains("error"), 8).otherwise(100)
-    )
+    """0 to 3 for names, states, times and errors, 4 to 8 for keys that hold such a part, else 100."""
+    k = F.lower(F.translate(key, "- ", "__"))
+    out = F.lit(100)
+    for n, part in reversed(KEY_PARTS):
+        out = F.when(k.rlike(part), n).otherwise(out)
+    for n, names in reversed(list(enumerate(KEY_NAMES))):
+        out = F.when(k.isin(*names), n).otherwise(out)
+    return out
 
 
 def wide_table(df: DataFrame, record_id: str, text: str) -> DataFrame:
@@ -106,7 +118,8 @@ def sql_line_kind(line: Column) -> Column:
 
 
 def json_routing(c: Column) -> Column:
-    """json for one value, ndjson for a value a line, text for others."""
+    """json for one value, ndjson if every line that isn't blank is a value (two lines or more), text for others."""
     t = T.trim(c)
-    first = F.substring_index(t, "\n", 1)
-    return F.when(F.try_parse_json(t).isNotNull() & t.rlike(r"^[{\[]"), "json").when(F.try_parse_json(first).isNotNull() & first.rlike(r"^[{\[]"), "ndjson").otherwise("text")
+    shaped = lambda x: F.try_parse_json(x).isNotNull() & x.rlike(r"^[{\[]")
+    ls = F.filter(F.transform(F.split(t, "\n"), T.trim), lambda x: x != "")
+    return F.when(shaped(t), "json").when((F.size(ls) > 1) & F.forall(ls, shaped), "ndjson").otherwise("text")

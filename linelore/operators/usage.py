@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from linelore.operators.intervals import containing
+
 COUNTERS = ("input_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "output_tokens")
 RFC3339 = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?(?:Z|[+-]\d\d:\d\d)$"
 SLACK_S = 120
@@ -58,26 +60,21 @@ def sessions(lines: DataFrame) -> DataFrame:
     return sums.join(seen, ["project", "session_id"])
 
 
-def attribute(sessions_: DataFrame, history: DataFrame, bucket_s: int = 86_400) -> DataFrame:
+def attribute(sessions_: DataFrame, history: DataFrame, shard_s: int = 86_400) -> DataFrame:
     """``seq, session_id, by_scope, ambiguous``: the session that each run belongs to.
 
     By its scope, if that is a session's id; else by directory and time (two minutes of slack): the session that began
-    last. The interval join is on directory and day, so a busy directory is spread over its days. Runs without
-    match are left out.
+    last. Times are looked up in the sessions' step function, shard by shard, so a run costs the same however many
+    sessions overlap. Runs without match are left out.
     """
-    order = F.struct(-F.unix_micros("last_seen"), F.col("session_id"), F.col("project"))
-    h = history.select("seq", F.col("session_scope").alias("scope"), "cwd", F.unix_micros(F.col("timestamp").cast("timestamp")).alias("t"), "filtered_tokens", "saved_tokens")
-    known = sessions_.groupBy("session_id").agg(F.min(order).alias("o")).select(F.col("session_id").alias("scope"), F.lit(True).alias("known"))
+    h = history.select("seq", F.col("session_scope").alias("scope"), "cwd", F.col("timestamp").alias("t"))
+    known = sessions_.select(F.col("session_id").alias("scope"), F.lit(True).alias("known")).distinct()
     h = h.join(known, "scope", "left")
     direct = h.where("known").select("seq", F.col("scope").alias("session_id"), F.lit(True).alias("by_scope"), F.lit(False).alias("ambiguous"))
-    us, slack = bucket_s * 1_000_000, SLACK_S * 1_000_000
-    lo, hi = F.unix_micros("first_seen") - slack, F.unix_micros("last_seen") + slack
-    s = sessions_.where("cwd <> ''").select("cwd", "session_id", lo.alias("lo"), hi.alias("hi"), F.struct(-F.unix_micros("first_seen"), -F.unix_micros("last_seen"), F.col("session_id")).alias("rank"))
-    s = s.where("lo is not null").withColumn("day", F.explode(F.sequence(F.floor(F.col("lo") / us), F.floor(F.col("hi") / us))))
-    r = h.where("known is null and cwd <> '' and t is not null").select("seq", "cwd", "t", F.floor(F.col("t") / us).alias("day"))
-    m = r.join(s, ["cwd", "day"]).where("t >= lo and t <= hi")
-    best = m.groupBy("seq").agg(F.min_by("session_id", "rank").alias("session_id"), (F.count("*") > 1).alias("ambiguous"))
-    return direct.unionByName(best.select("seq", "session_id", F.lit(False).alias("by_scope"), "ambiguous"))
+    r, s = h.where("known is null and cwd <> ''"), sessions_.where("cwd <> ''")
+    c = F.col
+    found = containing(r, (c("seq"), c("cwd"), c("t")), s, (c("session_id"), c("cwd"), c("first_seen"), c("last_seen")), SLACK_S, shard_s)
+    return direct.unionByName(found.select(c("record_id").alias("seq"), c("interval_id").alias("session_id"), F.lit(False).alias("by_scope"), (c("n") > 1).alias("ambiguous")))
 
 
 def report(sessions_: DataFrame, history: DataFrame) -> DataFrame:

@@ -158,7 +158,7 @@ FROM s WHERE NOT (commands < 2 AND raw < 48 AND average_pct >= 0 AND fallback_ra
 SELECT * EXCLUDE (raw) FROM g WHERE average_pct < 40 AND NOT (commands < 2 AND (average_pct >= 0 OR raw < 16 OR (raw < 24 AND average_pct > -25)))""",
     "budget_suggestions": f"WITH {HYDRATED}, r AS (SELECT * FROM h WHERE command_fingerprint <> '' AND NOT passthrough), {_SUGGEST}",
     "budget_suggestions_recent": f"""WITH {HYDRATED}, l AS (SELECT * FROM h ORDER BY "timestamp" DESC NULLS LAST, seq DESC LIMIT 200), r AS (SELECT * FROM l WHERE command_fingerprint <> '' AND NOT passthrough), {_SUGGEST}""",
-    "totals_fold_combine": f"WITH {HYDRATED}, t AS (SELECT {_COUNTERS} FROM h WHERE NOT regexp_matches(lower(trim(regexp_replace(command, '\\s+', ' ', 'g'))), '^([a-z]{{3}} )?uninstall( |$)')) SELECT {_INT_COUNTERS}, savings_pct_sum, {_RATES} FROM t",
+    "totals_fold_combine": f"WITH {HYDRATED}, t AS (SELECT {_COUNTERS} FROM h WHERE NOT coalesce(regexp_matches(lower(trim(regexp_replace(command, '\\s+', ' ', 'g'))), '^uninstall( |$)'), false)) SELECT {_INT_COUNTERS}, savings_pct_sum, {_RATES} FROM t",
     "history_compaction_retain": """WITH s AS (SELECT seq, strlen(command) + 1 AS b, row_number() OVER (ORDER BY seq DESC) AS rn, sum(strlen(command) + 1) OVER (ORDER BY seq DESC ROWS UNBOUNDED PRECEDING) AS run FROM history)
 SELECT seq, rn <= 2500 AND (rn = 1 OR run <= 40000) AS kept FROM s""",
     "savings_cost": "SELECT sum(saved_tokens)::BIGINT AS saved_tokens, sum(saved_tokens)::DOUBLE * 3.0::DOUBLE / 1000000 AS saved_cost, sum(saved_tokens)::DOUBLE / 200000 AS context_windows FROM history",

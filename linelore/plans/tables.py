@@ -93,7 +93,8 @@ def path_inventory_dir_ext(spark, root):
 
 
 def search_noise_buckets(spark, root):
-    return table(spark, root, "history").groupBy(S.noise_bucket(F.col("cwd")).alias("bucket")).agg(F.count("*").alias("n"))
+    p = table(spark, root, "usage_lines").select(F.col("file_path").alias("p")).unionByName(table(spark, root, "history").select(F.col("cwd").alias("p")))
+    return p.groupBy(S.noise_bucket(F.col("p")).alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def diff_stats(spark, root):
@@ -122,6 +123,15 @@ def _rows(t: str, cols: list[str], keys: str) -> str:
 
 _PROFILE = """j AS (SELECT {c}::JSON AS j FROM {t} WHERE json_valid({c}) AND json_type({c}) = 'OBJECT'), k AS (SELECT j, unnest(json_keys(j)) AS key FROM j)"""
 _EXT = r"lower(regexp_extract(string_split(p, '/')[-1], '.(\.[A-Za-z0-9]+)$', 1))"
+# Every node with its parent's number of children; a node is merged into the line above it or begins one (a head).
+_TREE = """WITH p AS (SELECT DISTINCT list_filter(string_split(cwd, '/'), lambda x: x NOT IN ('', '.')) AS s FROM history WHERE cwd IS NOT NULL),
+e AS (SELECT DISTINCT s[1:i] AS node FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM p)),
+n AS (SELECT node, (SELECT count(*) FROM e c WHERE len(c.node) = len(e.node) + 1 AND c.node[1:len(e.node)] = e.node) AS kids,
+ (SELECT count(*) FROM e c WHERE len(c.node) = len(e.node) AND c.node[1:len(e.node) - 1] = e.node[1:len(e.node) - 1]) AS sib FROM e),
+m AS (SELECT *, sib = 1 AND kids > 0 AND len(node) > 1 AS merged FROM n),
+t AS (SELECT node, (SELECT count(*) FROM m h WHERE NOT h.merged AND h.node = x.node[1:len(h.node)]) AS depth,
+ (SELECT arg_max(c.node, len(c.node)) FROM m c WHERE c.merged AND c.node[1:len(x.node)] = x.node AND len(c.node) > len(x.node)
+   AND (SELECT bool_and(h.merged) FROM m h WHERE len(h.node) > len(x.node) AND h.node = c.node[1:len(h.node)])) AS stop FROM m x WHERE NOT merged)"""
 SQL = {
     "rare_values_history": f"WITH {_rare('history', _HC)} SELECT col AS column, value, n FROM rare",
     "rare_value_rows_orders": _rows("orders", _OC, "o_orderkey"),
@@ -136,16 +146,19 @@ SQL = {
     "size_totals": "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars, max(n_chars) AS largest FROM documents GROUP BY source",
     "search_group_by_file": """WITH e AS (SELECT concat_ws('/', source, doc_id) AS file, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM (SELECT source, doc_id, string_split(text, chr(10)) AS ls FROM documents))
 SELECT file, count(*) AS n, min(line_no)::INT AS first_line, left(arg_min(line, line_no), 160) AS text FROM e WHERE regexp_matches(line, 'release|contract') GROUP BY file""",
-    "path_inventory_dir_ext": f"""WITH p AS (SELECT DISTINCT file_path AS p FROM usage_lines WHERE file_path IS NOT NULL)
-SELECT 'dir' AS kind, coalesce(nullif(regexp_replace(p, '/?[^/]*$', ''), ''), '.') AS value, count(*) AS n FROM p GROUP BY 2 UNION ALL SELECT 'top', split_part(ltrim(p, '/'), '/', 1), count(*) FROM p GROUP BY 2 UNION ALL SELECT 'ext', {_EXT}, count(*) FROM p GROUP BY 2""",
-    "search_noise_buckets": f"""SELECT CASE WHEN len(list_filter(string_split(cwd, '/'), lambda x: x IN {S.NOISE_DIRS})) > 0 THEN list_filter(string_split(cwd, '/'), lambda x: x IN {S.NOISE_DIRS})[1]
- WHEN regexp_matches(cwd, '\\.min\\.(js|css)$') THEN 'minified' WHEN ends_with(cwd, '.map') THEN 'map' END AS bucket, count(*) AS n FROM history GROUP BY 1""",
+    "path_inventory_dir_ext": """WITH p AS (SELECT DISTINCT file_path AS p FROM usage_lines WHERE file_path IS NOT NULL), s AS (SELECT p, string_split(p, '/') AS s FROM p)
+SELECT 'dir' AS kind, CASE WHEN len(s) > 1 THEN array_to_string(s[:-2], '/') || '/' ELSE './' END AS value, count(*) AS n FROM s GROUP BY 2
+UNION ALL SELECT 'top', CASE WHEN len(s) > 1 THEN s[1] || '/' ELSE '.' END, count(*) FROM s GROUP BY 2
+UNION ALL SELECT 'ext', CASE WHEN contains(s[-1], '.') THEN '.' || lower(string_split(s[-1], '.')[-1]) ELSE '[no-ext]' END, count(*) FROM s GROUP BY 2""",
+    "search_noise_buckets": """WITH p AS (SELECT string_split(file_path, '/') AS s FROM usage_lines UNION ALL SELECT string_split(replace(replace(cwd, '//', '/'), '//', '/'), '/') FROM history)
+SELECT list_filter(s, lambda x: x IN ('.git', '.next', '.turbo', '.cache', '__pycache__', 'build', 'coverage', 'dist', 'node_modules', 'target', 'vendor'))[1] AS bucket, count(*) AS n FROM p GROUP BY 1""",
     "diff_stats": """SELECT doc_id AS record_id, len(list_filter(ls, lambda x: starts_with(x, 'diff --git ')))::INT AS files, len(list_filter(ls, lambda x: starts_with(x, '@@ ')))::INT AS hunks,
  len(list_filter(ls, lambda x: starts_with(x, '+') AND NOT starts_with(x, '+++')))::INT AS added, len(list_filter(ls, lambda x: starts_with(x, '-') AND NOT starts_with(x, '---')))::INT AS removed
 FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)""",
-    "path_tree": """WITH p AS (SELECT DISTINCT list_filter(string_split(cwd, '/'), lambda x: x <> '') AS s FROM history WHERE cwd IS NOT NULL AND len(list_filter(string_split(cwd, '/'), lambda x: x <> '')) > 0),
-e AS (SELECT DISTINCT array_to_string(s[1:i - 1], '/') AS dir, (i - 1)::INT AS depth, s[i] AS child FROM (SELECT s, unnest(range(1, len(s) + 1)) AS i FROM p))
-SELECT dir, depth, count(*) AS children, min(child) || CASE WHEN count(*) > 1 THEN ', ' || max(child) ELSE '' END AS sample FROM e GROUP BY dir, depth""",
-    "json_key_order": f"""WITH {_PROFILE.format(c='raw_line', t='history_lines')} SELECT DISTINCT key, CASE WHEN lower(key) IN ('id', 'name') THEN 0 WHEN lower(key) IN ('status', 'state') THEN 1 WHEN lower(key) IN ('time', 'timestamp', 'created_at', 'updated_at') THEN 2
- WHEN lower(key) IN ('error', 'message') THEN 3 WHEN ends_with(lower(key), '_id') THEN 4 WHEN contains(lower(key), 'name') THEN 5 WHEN contains(lower(key), 'status') THEN 6 WHEN contains(lower(key), 'time') THEN 7 WHEN contains(lower(key), 'error') THEN 8 ELSE 100 END AS priority FROM k""",
+    "path_tree": _TREE + " SELECT array_to_string(node, '/') AS dir, depth::INT AS depth, repeat('  ', depth::INT) || CASE WHEN stop IS NULL THEN node[-1] ELSE array_to_string(stop[len(node):], '/') || '/' END AS label FROM t",
+    "json_key_order": f"""WITH {_PROFILE.format(c='raw_line', t='history_lines')}, n AS (SELECT DISTINCT key, lower(replace(replace(key, '-', '_'), ' ', '_')) AS k FROM k)
+SELECT key, CASE WHEN k IN ('id', 'ids', 'uuid', 'uid', 'ocid', 'arn', 'name', 'displayname', 'display_name', 'title', 'slug') THEN 0 WHEN k IN ('status', 'state', 'phase', 'health', 'healthstatus', 'health_status', 'severity', 'level') THEN 1
+ WHEN k IN ('timestamp', 'time', 'createdat', 'created_at', 'updatedat', 'updated_at', 'modifiedat', 'modified_at') THEN 2 WHEN k IN ('error', 'errors', 'message', 'reason', 'code', 'description') THEN 3
+ WHEN ends_with(k, 'id') THEN 4 WHEN contains(k, 'name') THEN 5 WHEN contains(k, 'status') OR contains(k, 'state') THEN 6 WHEN contains(k, 'time') OR contains(k, 'date') THEN 7
+ WHEN contains(k, 'error') OR contains(k, 'message') OR contains(k, 'reason') THEN 8 ELSE 100 END AS priority FROM n""",
 }
