@@ -1,7 +1,6 @@
 """Pairing records with the interval of the same entity that lies nearest in time.
 
-Both tables are cut into shards of one entity and one stretch of time; an interval belongs to every shard that it touches
-when widened by the tolerance, so shard edges overlap and no shard has to look into another. Within a shard the answer
+Both tables are cut into shards of one entity and one stretch of time whose edges overlap. Within a shard the answer
 is a step function of time: between two neighbouring ends of intervals the containing interval, the last one that ended
 and the next one that begins don't change. The steps' starts are one sorted array; a piecewise-linear index over it
 predicts the place of a time with an error of at most EPS, and a binary search in that window gives it exactly.
@@ -9,7 +8,6 @@ predicts the place of a time with an error of at most EPS, and a binary search i
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linelore.functions.paths import directory
+from linelore.operators.intervals import CROWD, LOWEST, Steps, sharded, shards
 
 EPS = 8
-LOWEST = np.iinfo(np.int64).min // 4
+__all__ = ["LOWEST", "LearnedIndex", "nearest_interval", "session_of_record"]
 
 
 class LearnedIndex:
@@ -65,80 +64,36 @@ class LearnedIndex:
             lo, hi = np.where(right, mid, lo), np.where(go & ~right, mid, hi)
 
 
-class Steps:
-    """The step function of one shard: which interval is nearest at each time."""
+class Nearest(Steps):
+    """The nearest interval at each time: the containing one, or of the neighbours on both sides the nearer."""
 
     def __init__(self, first: np.ndarray, last: np.ndarray, ids: list[str]):
-        order = sorted(range(len(ids)), key=lambda i: (first[i], ids[i]))
-        self.first, self.last, self.ids = first[order], last[order], [ids[i] for i in order]
-        f, la, n = self.first.tolist(), self.last.tolist(), len(ids)
-        starts = np.unique(np.concatenate([[LOWEST], self.first, self.last + 1]))
-        inside = np.full(len(starts), -1, np.int64)
-        heap: list[tuple] = []
-        j = 0
-        for k, b in enumerate(starts.tolist()):
-            while j < n and f[j] <= b:
-                heapq.heappush(heap, (-f[j], self.ids[j], j))
-                j += 1
-            while heap and la[heap[0][2]] < b:
-                heapq.heappop(heap)
-            if heap:
-                inside[k] = heap[0][2]
-        by_end = sorted(range(n), key=lambda i: (la[i], f[i], -i))  # of equal ends the latest begin, then the smallest id, is last
-        ends = self.last[by_end]
-        k = np.searchsorted(ends, starts, "left") - 1
-        self.left = np.where(k >= 0, np.array(by_end)[np.maximum(k, 0)], -1)
-        # of equal begins the smallest id is first
-        r = np.searchsorted(self.first, starts, "right")
-        self.right = np.where(r < n, r, -1)
-        self.inside = inside
-        self.index = LearnedIndex(starts)
-
-    def nearest(self, t: np.ndarray, tolerance: int) -> np.ndarray:
-        """Place of the nearest interval for each time, -1 where none is near enough."""
+        super().__init__(first, last, ids)
+        self.index = LearnedIndex(self.starts)
+
+    def nearest(self, t: np.ndarray, tolerance: int) -> tuple[np.ndarray, np.ndarray]:
+        """Place of the nearest interval for each time, -1 where none is near enough, and its distance."""
         at = self.index.predecessor(t)
         inside, left, right = self.inside[at], self.left[at], self.right[at]
         far = np.iinfo(np.int64).max
         dl = np.where(left >= 0, t - self.last[left], far)
         dr = np.where(right >= 0, self.first[right] - t, far)
         out = np.where(dr <= dl, right, left)  # at equal distance the later begin
-        out = np.where(np.minimum(dl, dr) <= tolerance, out, -1)
-        return np.where(inside >= 0, inside, out)
+        d = np.minimum(dl, dr)
+        out = np.where(d <= tolerance, out, -1)
+        return np.where(inside >= 0, inside, out), np.where(inside >= 0, 0, d)
 
 
 def _pair(tolerance: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard: tuple | None = None
-        parts: list[tuple] = []
-        steps: Steps | None = None
-        for b in batches:
-            n = b.num_rows
-            if not n:
-                continue
-            d = b.column("entity").dictionary_encode()
-            e, bucket, kind = d.indices.to_numpy(zero_copy_only=False), b.column("bucket").to_numpy(), b.column("kind").to_numpy()
-            cut = np.flatnonzero((e[1:] != e[:-1]) | (bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])) + 1
-            bounds = [0, *cut.tolist(), n]
-            t, t2 = b.column("t").to_numpy(), b.column("t2").to_numpy()
-            seqs, ids = [], []
-            for i, j in zip(bounds, bounds[1:]):
-                now = (d.dictionary[int(e[i])].as_py(), int(bucket[i]))
-                if now != shard:
-                    shard, parts, steps = now, [], None
-                if kind[i] == 0:
-                    parts.append((t[i:j], t2[i:j], b.column("id").slice(i, j - i).to_pylist()))
-                    continue
-                if not parts:
-                    continue
-                if steps is None:
-                    steps = Steps(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), [x for p in parts for x in p[2]])
-                k = steps.nearest(t[i:j], tolerance)
-                hit = np.flatnonzero(k >= 0)
-                if len(hit):
-                    seqs.append(b.column("seq").slice(i, j - i).take(pa.array(hit)))
-                    ids.extend(steps.ids[x] for x in k[hit].tolist())
-            if seqs:
-                yield pa.record_batch([pa.concat_arrays(seqs), pa.array(ids, pa.string())], names=["record_id", "interval_id"])
+        for s, b in shards(batches, Nearest):
+            t = b.column("t").to_numpy()
+            k, d = s.nearest(t, tolerance)
+            hit = np.flatnonzero(k >= 0)
+            if len(hit):
+                k = k[hit]
+                ids = pa.array([s.ids[x] for x in k.tolist()], pa.string())
+                yield pa.record_batch([b.column("seq").take(pa.array(hit)), ids, b.column("entity").take(pa.array(hit)), pa.array(t[hit]), pa.array(d[hit]), pa.array(s.first[k])], names=["record_id", "interval_id", "entity", "t", "d", "first"])
 
     return run
 
@@ -150,6 +105,7 @@ def nearest_interval(
     interval: tuple[Column, Column, Column, Column],
     tolerance_s: float = 120,
     shard_s: int = 86_400,
+    crowd: int = CROWD,
 ) -> DataFrame:
     """``record_id, interval_id``: each record with the nearest interval of its entity within the tolerance.
 
@@ -157,20 +113,17 @@ def nearest_interval(
     outside of that the time to the nearer end. Of several intervals the nearest, then the latest begin, then the
     smallest id counts. Records and intervals with a null in one of these columns, and intervals that end before they
     begin, match nothing; repeated records are all answered; an empty side gives an empty result. A directory that holds
-    a third of the rows is spread over its shards of ``shard_s`` seconds.
+    a third of the rows is spread over its shards of ``shard_s`` seconds, and these are cut further where they are crowded.
     """
-    tol, width = int(tolerance_s * 1_000_000), int(shard_s * 1_000_000)
-    us = lambda c: F.unix_micros(c.cast("timestamp"))
-    r = records.select(record[0].cast("bigint").alias("seq"), record[1].cast("string").alias("entity"), us(record[2]).alias("t"))
-    r = r.where("seq is not null and entity is not null and t is not null")
-    r = r.select("entity", F.floor(F.col("t") / width).alias("bucket"), F.lit(1).cast("byte").alias("kind"), "t", F.lit(0).cast("bigint").alias("t2"), "seq", F.lit(None).cast("string").alias("id"))
-    i = intervals.select(interval[0].cast("string").alias("id"), interval[1].cast("string").alias("entity"), us(interval[2]).alias("t"), us(interval[3]).alias("t2"))
-    i = i.where("id is not null and entity is not null and t <= t2")
-    span = F.sequence(F.floor((F.col("t") - tol) / width), F.floor((F.col("t2") + tol) / width))
-    i = i.select("entity", F.explode(span).alias("bucket"), F.lit(0).cast("byte").alias("kind"), "t", "t2", F.lit(None).cast("bigint").alias("seq"), "id")
-    both = i.unionByName(r)
-    both = both.repartition("entity", "bucket").sortWithinPartitions("entity", "bucket", "kind")
-    return both.mapInArrow(_pair(tol), "record_id bigint, interval_id string")
+    tol = int(tolerance_s * 1_000_000)
+    both, levels = sharded(records, record, intervals, interval, tol, int(shard_s * 1_000_000), crowd)
+    found = both.mapInArrow(_pair(tol), "record_id bigint, interval_id string, entity string, t bigint, d bigint, first bigint")
+    if levels > 1:  # very long intervals answer on a level of their own
+        key = ["record_id", "entity", "t"]
+        found = found.groupBy(*key, "interval_id", "d", "first").agg(F.count("*").alias("n"))
+        found = found.groupBy(*key).agg(F.min(F.struct("d", -F.col("first"), "interval_id", "n")).alias("s"))
+        found = found.select("record_id", F.col("s.interval_id").alias("interval_id"), F.explode(F.sequence(F.lit(1).cast("bigint"), "s.n")))
+    return found.select("record_id", "interval_id")
 
 
 def current_sessions(usage: DataFrame) -> DataFrame:

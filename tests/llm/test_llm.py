@@ -46,6 +46,10 @@ def test_nearest_against_brute_force(spark):
     S = spark.createDataFrame(ses, "id string, dir string, a timestamp_ntz, b timestamp_ntz")
     run = lambda R, S: nearest_time.nearest_interval(R, (R.seq, R.dir, R.t), S, (S.id, S.dir, S.a, S.b), 120, 3600)
     assert rows(run(R, S)) == sorted(want, key=repr)
+    # crowded stretches are cut, very long intervals have wider ones; neither changes a row
+    crowded = nearest_time.nearest_interval(R, (R.seq, R.dir, R.t), S, (S.id, S.dir, S.a, S.b), 120, 3600, crowd=20)
+    assert rows(crowded) == sorted(want, key=repr)
+    assert rows(nearest_time.nearest_interval(R, (R.seq, R.dir, R.t), S, (S.id, S.dir, S.a, S.b), 120, 1)) == sorted(want, key=repr)
     assert run(R, S.where("false")).count() == 0 and run(R.where("false"), S).count() == 0
 
 
