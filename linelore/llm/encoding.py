@@ -6,7 +6,8 @@ which the tokenizer's word pattern divides whatever comes before or after: where
 white space, other) changes, unless a space or an apostrophe stands in front, since these may join what follows. Two
 neighbours are joined by encoding the window between the last settled place of the left and the first of the right; a
 piece without any settled place lets the window grow to the next one. So the ids outside the window are proven to be
-those of the whole text, and decoding is the concatenation of the parts.
+those of the whole text, and decoding is the concatenation of the parts. Every text goes up the tree, a short one as a
+tree of one leaf. A text is one row, and so are its ids, which bounds both to what a row may hold (2 GB).
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ TOKENIZERS = os.environ.get("LINELORE_TOKENIZERS", "/opt/tokenizers")
 RANKS = "byte_bpe_50k.tiktoken"
 # Fixed value: the word pattern of the vocabulary.
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LEAF_CHARS = 2048
+LEAF_CHARS = 256
 
 # Control characters that libraries class differently are never taken for either kind.
 _OTHER = r"[^\s\p{L}\p{N}\x1c-\x1f\x85\u180e\u200b]"
@@ -93,8 +94,6 @@ def encode_text(text: str | None, encode, leaf_chars: int = LEAF_CHARS) -> list[
     """All ids of a text; none for null and empty texts."""
     if not text:
         return []
-    if len(text) <= leaf_chars:  # a tree of one leaf
-        return encode(text)
     p = reduce_text(text, encode, leaf_chars)
     out = encode(p.head) if p.head else []
     for x in p.ids:
@@ -129,6 +128,18 @@ def encode(df: DataFrame, keep: list[str], text: str = "text", folder: str = TOK
     return _apply(df, keep, text, False, folder, ranks, leaf_chars)
 
 
+def tree_size(df: DataFrame, keep: list[str], text: str = "text", leaf_chars: int = LEAF_CHARS) -> DataFrame:
+    """``keep`` columns, ``leaves`` and ``joins`` of each text's tree; an empty or null text has none.
+
+    After k halvings the pieces of n characters have floor(n / 2^k) characters, and n mod 2^k of them one more.
+    """
+    n = F.coalesce(F.length(F.col(f"`{text}`").cast("string")), F.lit(0)).cast("bigint")
+    k = F.greatest(F.lit(0), F.ceil(F.log2(n / F.lit(float(leaf_chars)))))
+    half = F.pow(F.lit(2), k - 1).cast("bigint")
+    leaves = F.when(n == 0, 0).when(k == 0, 1).when(F.floor(n / half) > leaf_chars, half * 2).otherwise(half + n % half)
+    return df.select(*[F.col(f"`{c}`") for c in keep], leaves.cast("bigint").alias("leaves"), F.greatest(leaves - 1, F.lit(0)).cast("bigint").alias("joins"))
+
+
 def count_tokens(df: DataFrame, keep: list[str], text: str = "text", folder: str = TOKENIZERS, ranks: str = RANKS, leaf_chars: int = LEAF_CHARS) -> DataFrame:
     """``keep`` columns and ``n_tokens``, by the same reduction; 0 for null and empty texts."""
     return _apply(df, keep, text, True, folder, ranks, leaf_chars)

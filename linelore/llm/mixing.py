@@ -27,31 +27,27 @@ TINY = 1e-9
 
 def flight(size: np.ndarray, pi: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     """Probabilities moved until at most two are fractional; sum(pi) and sum(pi * size) stay the same."""
-    pi = pi.astype(float).copy()
-    size = size.astype(float)
+    p, s = pi.astype(float).tolist(), size.astype(float).tolist()
+    draw = iter(rng.random(len(p)).tolist())
     live: list[int] = []
-    for i in range(len(pi)):
-        if TINY < pi[i] < 1 - TINY:
+    for i, x in enumerate(p):
+        if TINY < x < 1 - TINY:
             live.append(i)
         if len(live) < 3:
             continue
         a, b, c = live
         # the null space of (1, 1, 1) and (size_a, size_b, size_c)
-        u = np.array([size[b] - size[c], size[c] - size[a], size[a] - size[b]])
-        if not u.any():
-            u = np.array([1.0, -1.0, 0.0])
-        p = pi[live]
-        up, down = np.inf, np.inf
-        for x, d in zip(p, u):
-            if d > 0:
-                up, down = min(up, (1 - x) / d), min(down, x / d)
-            elif d < 0:
-                up, down = min(up, -x / d), min(down, (x - 1) / d)
-        p = p + u * up if rng.random() < down / (up + down) else p - u * down
-        p = np.where(p < TINY, 0.0, np.where(p > 1 - TINY, 1.0, p))
-        pi[live] = p
-        live = [j for j in live if 0 < pi[j] < 1]
-    return pi
+        u = (s[b] - s[c], s[c] - s[a], s[a] - s[b])
+        if not any(u):
+            u = (1.0, -1.0, 0.0)
+        up = min((1 - p[j]) / d if d > 0 else -p[j] / d for j, d in zip(live, u) if d)
+        down = min(p[j] / d if d > 0 else (p[j] - 1) / d for j, d in zip(live, u) if d)
+        step = up if next(draw) < down / (up + down) else -down
+        for j, d in zip(live, u):
+            v = p[j] + d * step
+            p[j] = 0.0 if v < TINY else 1.0 if v > 1 - TINY else v
+        live = [j for j in live if 0 < p[j] < 1]
+    return np.array(p)
 
 
 def landing(size: np.ndarray, pi: np.ndarray) -> np.ndarray:

@@ -65,6 +65,11 @@ def p8_round_trip(spark: SparkSession, root: str) -> DataFrame:
     return encoding.decode(encoding.encode(table(spark, root, "documents").where("text is not null"), ["doc_id"]), ["doc_id"]).select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("hash"))
 
 
+def p8_tree(spark: SparkSession, root: str) -> DataFrame:
+    """``doc_id, leaves, joins``: how many pieces each text was reduced from."""
+    return encoding.tree_size(table(spark, root, "documents"), ["doc_id"])
+
+
 def p9_selection(spark: SparkSession, root: str) -> DataFrame:
     return mixing.select_mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))
 
@@ -84,7 +89,7 @@ def p10_composition(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p4_found, p4_percentiles, p4_profiles, p5_found, p5_collapsed, p7_found, p7_counts, p8_ids, p8_round_trip, p9_selection, p9_shares, p10_found, p10_composition)
+    for f in (p2_found, p4_found, p4_percentiles, p4_profiles, p5_found, p5_collapsed, p7_found, p7_counts, p8_ids, p8_round_trip, p8_tree, p9_selection, p9_shares, p10_found, p10_composition)
 }
 
 # The fingerprint of a command: lower case, single spaces, FNV-1a of 64 bits (arithmetic in 128-bit integers).
@@ -117,4 +122,34 @@ c AS (SELECT 'command_fingerprint' AS field, fp AS item, count(*) AS n FROM t WH
 SELECT field, item, n, (SELECT count(*) FROM t) AS n_rows FROM c WHERE n >= 0.01 * (SELECT count(*) FROM t)""",
     "p8_round_trip": "SELECT doc_id, length(text) AS n_chars, sha256(text) AS hash FROM documents WHERE text IS NOT NULL",
 }
+# Lines that repeat one another, by the statement's own words: an engine without look-around, one sign after the other.
+_MON = "(?:Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)"
+_HEX = "|".join([*(f"[a-f]{{{i}}}[0-9][0-9a-f]{{{5 - i},}}" for i in range(6)), "[a-f]{6,}[0-9][0-9a-f]*"])
+_KEYS = "line"
+for _p, _r in (
+    (r"\x1B(?:\[[0-?]*[ -/]*[@-~]|[\]PX^_][^\x07\x1B]*(?:\x07|\x1B\\)|[ -/]*[0-~])", ""),
+    (rf"\b(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),? +({_MON}\b)", r"\1"),
+    (rf"\b{_MON}( +[0-9]|/[0-9])", r"\1"),
+    (r"\b[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}\b", "\x01"),
+    (rf"\b(?:{_HEX})\b", "\x01"),
+    ("[0-9]+(?:[.,:][0-9]+)*", "\x01"),
+    (r"[ \t\x0B\f\r]+", " "),
+):
+    _KEYS = f"regexp_replace({_KEYS}, '{_p}', '{_r}', 'g')"
+_RUNS = f"""WITH l AS (SELECT capture_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT capture_id, string_split(raw_combined, chr(10)) AS ls FROM captures)),
+k AS (SELECT capture_id, pos, line, trim({_KEYS}) AS key FROM l),
+s AS (SELECT *, CASE WHEN key = lag(key) OVER w THEN 0 ELSE 1 END AS fresh FROM k WHERE key <> '' WINDOW w AS (PARTITION BY capture_id ORDER BY pos)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY capture_id ORDER BY pos) AS run FROM s)"""
+SQL["p5_found"] = _RUNS + " SELECT capture_id, min(pos) AS first_line, max(pos) AS last_line FROM g GROUP BY capture_id, run HAVING count(*) >= 3"
+_CLOCK = "(?:^|[^0-9])([01][0-9]|2[0-3]):([0-5][0-9]):([0-5][0-9])(?:[.,]([0-9][0-9]?[0-9]?))?"
+_PART = "regexp_extract(line, '" + _CLOCK + "', {})"
+_MS = f"CASE WHEN regexp_matches(line, '{_CLOCK}') THEN (({_PART.format(1)}::INT * 60 + {_PART.format(2)}::INT) * 60 + {_PART.format(3)}::INT) * 1000 + rpad({_PART.format(4)}, 3, '0')::INT END"
+SQL["p5_collapsed"] = _RUNS + f""", c AS (SELECT *, {_MS} AS ms FROM g),
+r AS (SELECT capture_id AS seq_id, min(pos) AS first_line, max(pos) AS last_line, count(*) AS n, arg_min(struct_pack(line := line, ms := ms), pos) AS a, arg_max(struct_pack(ms := ms), pos) AS z FROM c GROUP BY capture_id, run)
+SELECT seq_id, first_line, last_line, n, CASE WHEN n > 1 THEN ((z.ms - a.ms) % 86400000 + 86400000) % 86400000 END::BIGINT AS duration_ms, a.line AS line FROM r"""
+# Leaves of halving a text of n characters until no piece has more than 256.
+SQL["p8_tree"] = """WITH RECURSIVE t AS (SELECT DISTINCT coalesce(length(text), 0) AS n, coalesce(length(text), 0) AS piece, 1::BIGINT AS k FROM documents
+ UNION ALL SELECT n, p, sum(k)::BIGINT FROM (SELECT n, unnest([piece // 2, piece - piece // 2]) AS p, k FROM t WHERE piece > 256) GROUP BY n, p),
+l AS (SELECT n, sum(k)::BIGINT AS leaves FROM t WHERE piece <= 256 AND n > 0 GROUP BY n)
+SELECT doc_id, coalesce(leaves, 0) AS leaves, greatest(coalesce(leaves, 0) - 1, 0) AS joins FROM documents LEFT JOIN l ON l.n = coalesce(length(text), 0)"""
 SQL["p7_found"] = f"SELECT field, item FROM ({SQL['p7_counts']})"

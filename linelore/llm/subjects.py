@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from linelore.session import cut_lineage
 
 MAX_LABELLED = 6_000  # documents that the model is fitted on, chosen by a hash of their id
-SHARDS = 6
+MOST_SHARDS = 64  # a shard has about a hundred labelled documents then
 DIM = 10
 WORDS, SUBWORDS = 1 << 15, 1 << 16
 ROUNDS = (24, 24)
@@ -56,7 +56,10 @@ def _prose(line: str) -> list[str]:
 
 
 def sentences(text: str | None) -> list[list[str]]:
-    """The words of each sentence of a text; lines that are commands, paths, counters and the like have none."""
+    """The words of each sentence of a text; lines that are commands, paths, counters and the like have none.
+
+    A sentence of fewer than LEAST_WORDS words (a greeting, a label, a prompt) is about nothing and counts for no subject.
+    """
     out = []
     for line in (text or "").split("\n"):
         for part in _prose(_ANSI.sub("", line).strip()):
@@ -70,7 +73,7 @@ def sentences(text: str | None) -> list[list[str]]:
 def features(word: str) -> tuple[int, list[int]]:
     """The rows of a word's own embedding and of its subwords'."""
     b = word.encode("utf-8", "surrogatepass")
-    w = f"<{word[:40]}>"
+    w = f"<{word}>"
     grams = [w[i : i + n] for n in (3, 4, 5) for i in range(len(w) - n + 1)]
     return zlib.crc32(b) % WORDS, [WORDS + zlib.crc32(g.encode("utf-8", "surrogatepass")) % SUBWORDS for g in grams] or [WORDS]
 
@@ -175,7 +178,7 @@ def _round(m, phase: int, balance: np.ndarray, run: str):
             return
         key = (run, rows[0]["shard"])
         if key not in _KEPT:
-            if len(_KEPT) > 4 * SHARDS:
+            if len(_KEPT) > 4 * MOST_SHARDS:
                 _KEPT.clear()
             _KEPT[key] = Shard([r["text"] for r in rows], [r["labels"] for r in rows], len(balance))
         at, de, dw, db, loss, weight = _KEPT[key].gradient(m.value, phase, balance)
@@ -184,20 +187,21 @@ def _round(m, phase: int, balance: np.ndarray, run: str):
     return go
 
 
-def labelled(documents: DataFrame, labels: DataFrame, subjects: list[str], most: int = MAX_LABELLED) -> DataFrame:
+def labelled(documents: DataFrame, labels: DataFrame, subjects: list[str], most: int = MAX_LABELLED, shards: int = 1) -> DataFrame:
     """``text, labels, shard``: at most ``most`` labelled documents; labels are places in ``subjects``, doubled ones count once."""
     place = F.array_position(F.array(*[F.lit(s) for s in subjects]), F.col("subject")).cast("int") - 1
     one = labels.where(F.col("subject").isin(subjects) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.array_sort(F.collect_set(place)).alias("labels"))
     one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded: it may be broadcast
     docs = documents.select(F.col("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null").join(F.broadcast(one), "doc_id")
-    return docs.select("text", "labels", F.pmod(F.xxhash64("doc_id"), F.lit(SHARDS)).cast("int").alias("shard"))
+    return docs.select("text", "labels", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int").alias("shard"))
 
 
 def train(documents: DataFrame, labels: DataFrame, subjects: list[str], most: int = MAX_LABELLED, rounds: tuple[int, int] = ROUNDS) -> dict[str, np.ndarray]:
     """The model's arrays. Without usable labels it is the untrained one, which finds no subject."""
     spark = documents.sparkSession
     k = len(subjects)
-    data = cut_lineage(labelled(documents, labels, subjects, most).repartition(SHARDS, "shard").sortWithinPartitions("shard", "text"))
+    shards = max(1, min(MOST_SHARDS, spark.sparkContext.defaultParallelism))  # as many as the cluster has cores
+    data = cut_lineage(labelled(documents, labels, subjects, most, shards).repartition(shards, "shard").sortWithinPartitions("shard", "text"))
     data = data.withColumn("shard", F.spark_partition_id())  # a partition is one shard, however the hash fell
     m = initial(k)
     if data.isEmpty():
@@ -208,7 +212,7 @@ def train(documents: DataFrame, labels: DataFrame, subjects: list[str], most: in
     for phase, n in enumerate(rounds):
         for _ in range(n):
             sent = spark.sparkContext.broadcast(m)
-            parts = data.mapInArrow(_round(sent, phase, balance, run), "rows binary, de binary, dw binary, db binary, loss double, weight double").collect()  # SHARDS rows
+            parts = data.mapInArrow(_round(sent, phase, balance, run), "rows binary, de binary, dw binary, db binary, loss double, weight double").collect()  # a row a shard
             g = {x: np.zeros_like(v) for x, v in m.items()}
             weight = max(1.0, sum(p["weight"] for p in parts))
             for p in parts:

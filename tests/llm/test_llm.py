@@ -103,6 +103,11 @@ def test_runs(spark):
     assert runs.found_runs(df.where("false")).count() == 0
     got = {(r.seq_id, r.first_line): (r.last_line, r.n) for r in runs.collapsed(df, "capture_id", "raw_combined").collect()}
     assert got[1, 5] == (6, 2) and got[1, 10] == (1210, 801) and got[4, 1] == (1, 1)
+    assert {k[0] for k in got} == {1, 4, 5}
+    three = {(r.seq_id, r.first_line): r.n for r in runs.collapsed(df, "capture_id", "raw_combined", 3).collect()}
+    assert three[1, 5] == three[1, 6] == 1 and three[1, 10] == 801
+    twice = runs.collapsed(df.union(df), "capture_id", "raw_combined")
+    assert {(r.seq_id, r.first_line): (r.last_line, r.n) for r in twice.collect()} == got
 
 
 def test_frequent(spark):
@@ -126,7 +131,7 @@ def test_encoding(spark):
     texts = ["it's 5 o'clock, y'all''ll", "  \t\n  x", "日本語 text​\x1c\x85!?", "<|endoftext|>", "a" * 5000, "1" * 3000 + "b" * 3000 + "'" * 50 + "s", " " * 4000, "'s" * 500]
     texts += ["".join(r.choice("ab1 .'\n\té日🧪s") for _ in range(r.randrange(400))) for _ in range(150)]
     for t in texts:
-        for size in (1, 3, 17, 2048):
+        for size in (1, 3, 17, 256):
             assert encoding.encode_text(t, enc, size) == enc(t)
     df = spark.createDataFrame([(1, None), (2, ""), (3, "hello world"), (3, "hello world")], "doc_id long, text string")
     got = rows(encoding.encode(df, ["doc_id"]))
