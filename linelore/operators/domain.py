@@ -1,20 +1,14 @@
-"""Reducers for the output of particular tools: what each keeps, as rules over lines.
+"""Outputs that are lists of things (layers, checks, entries, tests) as rows: the last state of each thing counts.
 
-Two shapes cover them. Tools whose output is a list of things (layers, checks, entries, tests) are read into rows and
-aggregated, the last state of each thing counting. Tools whose output is prose with failures in it are described by
-ordered rules (tier, pattern): the first rule that a line matches gives its tier, lines are folded and made unique, and as
-many as fit are kept, lower tiers first, in the order of the text.
+What a render shows of them is in ``linelore.reducers``; here they are tables for analysis over many outputs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linelore.functions import text as T
-from linelore.operators import lines as L
 
 
 def tool_lines(df: DataFrame, record_id: str, text: str) -> DataFrame:
@@ -138,60 +132,3 @@ def pipelines(lines: DataFrame) -> DataFrame:
     g = m.groupBy("record_id", "status").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
     top = g.groupBy("record_id").agg(F.min_by("status", F.struct(-F.col("n"), "first_line")).alias("top"))
     return g.join(top, "record_id").select("record_id", "status", "n", (F.col("status") == F.col("top")).alias("dominant"))
-
-
-# Rules of tools whose failures stand in prose: (tier, pattern), in order. Tier 0 always stays.
-RULES: dict[str, Sequence[tuple[int, str]]] = {
-    "go-build": ((0, r"^\S+\.go:\d+(?::\d+)?: "), (1, r"^# "), (2, r"(?i)error|undefined|cannot")),
-    "cargo-build": ((0, r"^error(?:\[E\d+\])?: "), (1, r"^\s*--> "), (2, r"^warning: "), (3, r"^\s*= (?:help|note): ")),
-    "cargo-test": ((0, r"^test .* FAILED|^---- .* stdout|^test result: FAILED"), (1, r"panicked at"), (2, r"^\s*(?:left|right): |^error: "), (3, r"^test result: ")),
-    "dotnet-build": ((0, r": error [A-Z]+\d+: "), (1, r"^Build (?:FAILED|succeeded)"), (2, r": warning [A-Z]+\d+: "), (3, r"^\s*\d+ (?:Error|Warning)\(s\)")),
-    "dotnet-test": ((0, r"^\s*Failed \S"), (1, r"^(?:Failed!|Passed!|Total tests)"), (2, r"Error Message|Expected|Actual"), (3, r"^\s*at ")),
-    "pytest": ((0, r"^(?:FAILED|ERROR) |^=+ .*(?:failed|passed|error).* =+$"), (1, r"^E  "), (2, r"^\S+\.py:\d+"), (3, r"fixture .* not found|available fixtures")),
-    "python-tooling": ((0, r"^\S+\.py:\d+(?::\d+)?: "), (1, r"(?i)^found \d+|^success")),
-    "js-test": ((0, r"^\s*(?:✗|×|✕|FAIL |\d+\) )"), (1, r"^\s*(?:Tests|Test Files|Test Suites):? "), (2, r"AssertionError|Error: |expected"), (3, r"^\s*at ")),
-    "js-workspace": ((0, r"(?i)ERR_|npm ERR!|^error "), (1, r":\d+:\d+\s+error|error TS\d+"), (2, r"(?i)warn")),
-    "gradle-build": ((0, r"^FAILURE: |^> Task .* FAILED|^BUILD (?:FAILED|SUCCESSFUL)|^\* What went wrong"), (1, r"^e: |error: |^> "), (2, r"^w: |warning: "), (3, r"^\d+ actionable tasks?")),
-    "build-system": ((0, r"(?i)\b(?:error|fatal)\b.*:|\*\*\* |FAILED:"), (1, r"(?i)undefined reference|ld returned|CMake Error"), (2, r"(?i)warning"), (3, r"^\[\s*\d+(?:%|/\d+)\]")),
-    "terraform": ((0, r"^(?:│ )?Error: |^Plan: |^Apply complete!|^Destroy complete!|^No changes"), (1, r"^\s*# \S+ (?:will|must) be "), (2, r"^\s*[~+-] \w"), (3, r"^(?:│ )?Warning: ")),
-    "pulumi-diff": ((0, r"^(?:Diagnostics|Resources|Duration):|error: "), (1, r"^\s*(?:\+|~|-|\+-|-\+)\s"), (2, r"^Previewing|^Updating")),
-    "ctest": ((0, r"\*\*\*Failed|^The following tests FAILED|tests failed out of"), (1, r"^\s*\d+ - .* \(Failed\)")),
-    "clang-tooling": ((0, r":\d+:\d+: (?:fatal )?error: "), (1, r":\d+:\d+: warning: "), (2, r"^\d+ (?:warning|error)s? generated")),
-    "php-tooling": ((0, r"(?i)^(?:PHP )?(?:fatal|parse) error|^FAILURES!|^There (?:was|were) \d+"), (1, r"\.php:\d+"), (2, r"^Tests: \d+")),
-    "buildkit": ((0, r"^#?\d* ?ERROR|^ERROR: |failed to solve"), (1, r"^ > \[|^------$"), (2, r"^#\d+ \[")),
-    "git-transfer": ((0, r"^CONFLICT|^error: |^fatal: |! \[rejected\]"), (1, r"^hint: "), (2, r"^(?: \* | \+ |   )?\S+\.\.\S+ |-> "), (3, r"^(?:remote: |Receiving|Resolving|Counting|Compressing)")),
-    "http-api": ((0, r"^< ?HTTP/|^HTTP/"), (1, r"(?i)^(?:< ?)?(?:content-type|location): "), (2, r"^[{\[]")),
-    "kubectl-describe": ((0, r"(?i)warning|failed|error|backoff|unhealthy"), (1, r"^(?:Name|Namespace|Status|Reason|Message|Node): "), (2, r"^Events:")),
-    "cloud-logs": ((0, r"(?i)error|exception|fatal|timeout|status=5\d\d|at=error"), (1, r"(?i)warn"), (2, r"(?i)status=4\d\d")),
-}
-
-
-def tiered(df: DataFrame, record_id: str, text: str, rules: Sequence[tuple[int, str]], most: int = 12, width: int = 160) -> DataFrame:
-    """``record_id, rendered, omitted``: the lines that rules select, unique and clipped, at most ``most``, in the order of the text.
-
-    Tier 0 is kept however many there are; lower tiers fill what is left. A text without any such line gives its first lines.
-    """
-    ls = F.filter(F.transform(F.split(F.regexp_replace(T.strip_ansi(F.col(text)), "\r", ""), "\n"), T.rtrim), lambda x: x != "")
-    d = df.select(F.col(record_id).alias("record_id"), F.array_distinct(ls).alias("ls"))
-    tier = lambda x: F.coalesce(*[F.when(x.rlike(p), F.lit(t)) for t, p in rules], F.lit(99))
-    d = d.withColumn("c", F.filter(F.transform("ls", lambda x, i: F.struct(tier(x).alias("tier"), i.alias("pos"), T.clip(T.trim(x), width).alias("line"))), lambda c: c["tier"] < 99))
-    d = d.withColumn("c", F.when(F.size("c") > 0, F.col("c")).otherwise(F.transform(F.slice("ls", 1, most), lambda x, i: F.struct(F.lit(50).alias("tier"), i.alias("pos"), T.clip(T.trim(x), width).alias("line")))))
-    d = d.withColumn("c", F.array_sort("c")).withColumn("must", F.size(F.filter("c", lambda x: x["tier"] == 0)))
-    d = d.withColumn("k", F.slice("c", F.lit(1), F.greatest(F.col("must"), F.lit(most))))
-    d = d.withColumn("k", F.array_sort(F.transform("k", lambda x: F.struct(x["pos"].alias("pos"), x["line"].alias("line")))))
-    return d.select("record_id", F.coalesce(F.nullif(F.array_join(F.transform("k", lambda x: x["line"]), "\n"), F.lit("")), F.lit("ok")).alias("rendered"), (F.size("c") - F.size("k")).alias("omitted"))
-
-
-def reduce_by_tool(df: DataFrame, record_id: str, text: str, profile: str) -> DataFrame:
-    """Each text by the rules of its profile; profiles without rules of their own give their first lines."""
-    out = None
-    for name, rules in RULES.items():
-        part = tiered(df.where(F.col(profile) == name), record_id, text, rules)
-        out = part if out is None else out.unionByName(part)
-    rest = tiered(df.where(~F.coalesce(F.col(profile).isin(*RULES), F.lit(False))), record_id, text, ())
-    return out.unionByName(rest)
-
-
-def lines_spec(profile: str) -> L.Spec:
-    """A profile's rules as a declarative spec, for use where only specs are read."""
-    return L.Spec(profile, keep_patterns=tuple(p for _, p in RULES[profile]), drop_empty=True, fold_similar=True, head=12)

@@ -1,12 +1,13 @@
 """From a captured output to its rendering under a budget: route, reduce, contract, retention, guard, quality.
 
 Each capture is a row; every stage adds columns to it, so a render of any number of captures is one pass without shuffle.
-Only the hard cap, which measures the whole text again at every step, runs in Python (Arrow batches).
+What measures or rewrites whole texts runs in one Arrow pass (``finish``); repeats and changes of earlier runs are joins.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import pandas as pd
@@ -15,8 +16,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from linelore.functions import text as T
-from linelore.functions.tokens import estimate, hard_cap
+from linelore.functions.tokens import estimate, hard_cap, ultra_compact
+from linelore.operators import dedup
 from linelore.operators import lines as L
+from linelore.operators import route as Ro
+from linelore.reducers.base import Output, fit, log_shaped
+from linelore.reducers.tools import reduced
 
 
 @dataclass(frozen=True)
@@ -24,14 +29,11 @@ class EngineOptions:
     """Settings that change results, with their defaults."""
 
     max_preview_lines: int = 12
-    max_match_groups: int = 8
     reasoning_budget_mode: str = "standard"  # standard, agent or aggressive
-    cost_rate_per_mtok: float = 3.0
     dedup_window_minutes: int = 30
     ultra_compact: bool = False
     verbose: int = 0
-    noise_prefiltering: bool = True
-    adaptive_budgets: bool = True
+    fast_path: bool = True
     compression_contract: bool = True
     retention_verifier: bool = True
     session_dedup: bool = True
@@ -41,6 +43,13 @@ class EngineOptions:
 # Fixed values of budgets and contract.
 CONTRACT_RAW, CONTRACT_FLOOR, CONTRACT_PART = 200, 48, 5
 TINY_BYTES, TINY_TOKENS = 384, 96
+# Outputs that are shown as they are: bytes and tokens by profile, and for any other profile. Fixed values.
+FAST_PATH = {
+    "ripgrep": (384, 96), "path-find": (384, 96), "generic-summary": (384, 96), "directory-listing": (288, 72), "directory-listing-tree": (384, 96), "grep": (320, 80), "git-diff": (256, 64),
+    "git-diff-names": (384, 96), "git-log": (224, 56), "git-ls-files": (384, 96), "git-status": (192, 48), "git-status-short": (288, 72), "ripgrep-files": (384, 96), "ripgrep-files-with-matches": (384, 96),
+}
+FAST_ANY = (192, 48)
+FAILURE_HEAD, DIGEST_LINES = 3, 24
 CODE = r"(?<![A-Za-z0-9])[A-Z]{1,3}[0-9]{3,5}(?![A-Za-z0-9])"
 CRITICAL = r"FAIL|ERROR|^at |^--> |(?i:^error |error:|error\[|: error |panic:|fatal:|exception|traceback|assertionerror|undefined reference)"
 
@@ -115,30 +124,31 @@ def fit_priority_lines(cands: Column, max_lines: int, budget: int) -> Column:
     return F.aggregate(F.array_sort(cands), zero, step, lambda a: F.array_sort(kept(a)))
 
 
-def retention_needles(raw: Column) -> Column:
-    """What a render of a failing run must still hold: places (file name and line) and diagnostic codes of critical lines."""
-    crit = F.filter(L.reducer_lines(raw), lambda x: T.trim(x).rlike(CRITICAL))
-    places = F.flatten(F.transform(crit, lambda x: F.regexp_extract_all(x, F.lit(r"([A-Za-z0-9_-][A-Za-z0-9_.-]*\.(?:" + "|".join(T.ANCHOR_EXTENSIONS) + r"):[0-9]+)"), F.lit(1))))
-    codes = F.flatten(F.transform(crit, lambda x: F.regexp_extract_all(x, F.lit(f"({CODE})"), F.lit(1))))
-    return F.slice(F.array_distinct(F.concat(places, codes)), 1, 64)
-
-
 _CRITICAL, _CODE = re.compile(CRITICAL), re.compile(CODE)
-_NEEDLE = re.compile(r"[A-Za-z0-9_-][A-Za-z0-9_.-]*\.(?:" + "|".join(T.ANCHOR_EXTENSIONS) + r"):[0-9]+")
+_NEEDLE = re.compile(r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-][A-Za-z0-9_.-]*\.(?:" + "|".join(T.ANCHOR_EXTENSIONS) + r"):[0-9]+")
 
 
 def needles(raw: str) -> list[str]:
-    """The same as ``retention_needles``, for a text held in Python."""
+    """What a render of a failing run must still hold: places (file name and line) and diagnostic codes of critical lines."""
     crit = [x for x in raw.split("\n") if _CRITICAL.search(x.strip())]
     found = [m for x in crit for m in _NEEDLE.findall(x)] + [m for x in crit for m in _CODE.findall(x)]
     return list(dict.fromkeys(found))[:64]
 
 
+def bypassed(profile: Column, raw: Column, raw_tokens: Column, failed: Column) -> Column:
+    """Whether a successful output is so small that it is shown as it is: by the limits of its profile, or tiny."""
+    small = lambda lim: (F.octet_length(raw) <= lim[0]) & (raw_tokens <= lim[1])
+    by_family = F.lit(False)
+    for name, lim in FAST_PATH.items():
+        by_family |= (profile == name) & small(lim)
+    return ~failed & (F.coalesce(by_family, F.lit(False)) | small(FAST_ANY))
+
+
 def finished(raw: str, text: str, raw_tokens: int, allowed: int | None, checked: bool, lines: int) -> tuple[str, int, list[str], int]:
     """Contract, small-output guard, retention with repair, and never worse than raw: rendering, its tokens, what was missing, repairs."""
     if allowed is not None and estimate(text) > allowed:
         text = hard_cap(text, allowed) or text
-    if len(raw.encode()) <= TINY_BYTES and raw_tokens <= TINY_TOKENS and estimate(text) > raw_tokens:
+    if len(raw.encode("utf-8", "surrogatepass")) <= TINY_BYTES and raw_tokens <= TINY_TOKENS and estimate(text) > raw_tokens:
         text = raw
     missing = [x for x in needles(raw) if x not in text] if checked else []
     repairs = min(len(missing), lines)
@@ -149,73 +159,249 @@ def finished(raw: str, text: str, raw_tokens: int, allowed: int | None, checked:
     return text, estimate(text), missing, repairs
 
 
-_FINISHED = Ty.StructType([Ty.StructField("rendered", Ty.StringType()), Ty.StructField("filtered_tokens", Ty.LongType()), Ty.StructField("missing", Ty.ArrayType(Ty.StringType())), Ty.StructField("repairs", Ty.IntegerType())])
+_FINISHED = Ty.StructType([Ty.StructField("route", Ty.StringType()), Ty.StructField("rendered", Ty.StringType()), Ty.StructField("filtered_tokens", Ty.LongType()), Ty.StructField("missing", Ty.ArrayType(Ty.StringType())), Ty.StructField("repairs", Ty.IntegerType())])
+
+
+_ODD = re.compile("[\x00-\x08\x0e-\x1a\x1c-\x1f\x7f\ufffd]")
+
+
+def text_route(raw: str) -> str:
+    """The same as ``content_route``."""
+    if not raw:
+        return "empty"
+    head = raw[:4096]
+    if len(_ODD.findall(head)) * 10 > len(head):
+        return "binary"
+    if log_shaped(Output(raw).lines):
+        return "log"
+    return "json" if re.match(r"\s*[{\[]", raw) else "text"
 
 
-@F.pandas_udf(_FINISHED)
-def finish(raw: pd.Series, text: pd.Series, raw_tokens: pd.Series, allowed: pd.Series, checked: pd.Series, lines: pd.Series) -> pd.DataFrame:
-    rows = [finished(r or "", t or "", int(n), None if a is None or a != a else int(a), bool(c), int(k)) for r, t, n, a, c, k in zip(raw, text, raw_tokens, allowed, checked, lines)]
-    return pd.DataFrame(rows, columns=_FINISHED.names)
+def _finish(ultra: bool):
+    def whole(raw, *rest) -> tuple:
+        route = text_route(raw or "")
+        return (route, *shown(raw or "", route, *rest))
 
+    def shown(raw, route, profile, code, command, fast, raw_tokens, allowed, checked, lines) -> tuple:
+        if fast:
+            return raw, int(raw_tokens), [], 0
+        if route == "binary":
+            runs = list(dict.fromkeys(re.findall(r"[\x20-\x7e\t]{8,}", raw)))
+            text = "binary, printable: " + " | ".join(runs[:5])
+        else:
+            text = reduced(raw, profile, 0 if code is None or code != code else int(code), int(lines), command or "")
+        out = finished(raw, text, int(raw_tokens), None if allowed is None or allowed != allowed else int(allowed), bool(checked), int(lines))
+        if ultra:
+            short = ultra_compact(out[0], bool(code))
+            return short, estimate(short), out[2], out[3]
+        return out
 
-def render(df: DataFrame, text: str, exit_code: str, profile: str, options: EngineOptions = EngineOptions()) -> DataFrame:
-    """Adds ``route, raw_tokens, budget_lines, rendered, filtered_tokens, saved_tokens, savings_pct, repairs, missing``.
+    @F.pandas_udf(_FINISHED)
+    def udf(raw: pd.Series, profile: pd.Series, code: pd.Series, command: pd.Series, fast: pd.Series, raw_tokens: pd.Series, allowed: pd.Series, checked: pd.Series, lines: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([whole(*x) for x in zip(raw, profile, code, command, fast, raw_tokens, allowed, checked, lines)], columns=_FINISHED.names)
 
-    Stages: reduce by route, contract, small-output guard, retention and repair, never worse than raw. Null and empty
-    texts render as empty. Write or checkpoint the result before filtering on it: the optimizer would otherwise spend its
-    time on carrying the filter's constraints through the reducers' expressions.
+    return udf
+
+
+def render(df: DataFrame, text: str, exit_code: str, profile: str, options: EngineOptions = EngineOptions(), command: Column | None = None, confidence: Column | None = None) -> DataFrame:
+    """Adds ``route, raw_tokens, budget_lines, bypassed, rendered, filtered_tokens, saved_tokens, savings_pct, repairs, missing``.
+
+    Stages: small successful outputs as they are; else the reducer of the profile, contract, small-output guard, retention
+    and repair, never worse than raw, and one line where ultra-compact is asked for. Null and empty texts render as empty.
     """
     o = options
-    raw = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("__raw", T.trim(T.strip_ansi(raw)))
-    df = df.withColumn("route", content_route(F.col("__raw"))).withColumn("raw_tokens", T.estimate_tokens(F.col("__raw")))
-    df = df.withColumn("budget_lines", budget_lines(F.col(profile), F.lit(""), o))
-    interesting = F.filter(L.reducer_lines(F.col("__raw")), lambda x: x.rlike("(?i)" + "|".join(L.INTERESTING)))
-    df = df.withColumn("__fail", (F.col(exit_code) != 0) & (F.size(interesting) > 0))
-    df = df.withColumn("__ls", F.when(F.col("__fail"), interesting).otherwise(L.reducer_lines(F.col("__raw"))))
-    df = L.fold(df, "__ls", "__ls", T.similar_line_key)
-    n, most = F.size("__ls"), F.col("budget_lines")
-    cut = F.concat(F.slice("__ls", F.lit(1), most), F.array(F.concat(F.lit("... +"), (n - most).cast("string"), F.lit(" more lines"))))
-    df = df.withColumn("__t", F.when(F.col("route") == "binary", F.concat(F.lit("binary, printable: "), F.array_join(F.slice(printable_runs(F.col("__raw")), 1, 5), " | "))).otherwise(F.array_join(F.when(n > most, cut).otherwise(F.col("__ls")), "\n")))
-    allowed = allowance(F.col("raw_tokens"), most) if o.compression_contract else F.lit(None).cast("int")
-    checked = F.lit(o.retention_verifier) & (F.col("raw_tokens") >= CONTRACT_RAW) & (F.col(exit_code) != 0)
-    # one Arrow pass: what follows measures whole texts again and again; it also keeps filters on its results from being
-    # worked into everything before
-    df = df.withColumn("__f", finish(F.col("__raw"), F.col("__t"), F.col("raw_tokens"), allowed, F.coalesce(checked, F.lit(False)), most))
-    df = df.select(*[c for c in df.columns if c not in ("__f", "__raw", "__ls", "__t", "__fail")], F.col("__f.rendered").alias("rendered"), F.col("__f.filtered_tokens").alias("filtered_tokens"), F.col("__f.missing").alias("missing"), F.col("__f.repairs").alias("repairs"))
+    df = df.withColumn("__raw", T.trim(T.strip_ansi(F.coalesce(F.col(text), F.lit("")))))
+    df = df.withColumn("raw_tokens", T.estimate_tokens(F.col("__raw")))
+    df = df.withColumn("budget_lines", budget_lines(F.col(profile), confidence if confidence is not None else F.lit(""), o))
+    failed = F.coalesce(Ro.failed(F.col(exit_code), F.col(profile)), F.col(exit_code) != 0, F.lit(False))
+    df = df.withColumn("bypassed", F.lit(o.fast_path and not o.ultra_compact) & bypassed(F.col(profile), F.col("__raw"), F.col("raw_tokens"), failed))
+    allowed = allowance(F.col("raw_tokens"), F.col("budget_lines")) if o.compression_contract else F.lit(None).cast("int")
+    checked = F.lit(o.retention_verifier) & (F.col("raw_tokens") >= CONTRACT_RAW) & failed
+    words = command if command is not None else F.lit("")
+    # one Arrow pass; it also keeps filters on its results from being worked into everything before
+    f = _finish(o.ultra_compact)(F.col("__raw"), F.col(profile), F.col(exit_code), words, F.col("bypassed"), F.col("raw_tokens"), allowed, checked, F.col("budget_lines"))
+    df = df.withColumn("__f", f)
+    df = df.select(*[c for c in df.columns if c not in ("__f", "__raw")], *[F.col(f"__f.{c}").alias(c) for c in _FINISHED.names])
     saved = F.col("raw_tokens") - F.col("filtered_tokens")
     pct = F.when(F.col("raw_tokens") > 0, F.round(saved * 100.0 / F.col("raw_tokens"), 2)).otherwise(0.0)
     return df.withColumn("saved_tokens", saved).withColumn("savings_pct", pct)
 
 
-def quality(df: DataFrame, raw: str, rendered: str, exit_code: str) -> DataFrame:
-    """Adds ``quality``: 100 less penalties for renders that say nothing, lose all failures, or save little."""
-    place = F.lit(r"([A-Za-z0-9_./-]+:[0-9]+(?::[0-9]+)?)")
+def quality(df: DataFrame, raw: str, rendered: str, exit_code: str, fallback: Column | None = None) -> DataFrame:
+    """Adds ``quality``: 100 less penalties for renders that say nothing, lose all failures, fall back, or save little or less than nothing."""
+    fell = fallback if fallback is not None else F.lit(0.0)
+    place = F.lit(r"(?<![A-Za-z0-9_./-])([A-Za-z0-9_./-]+:[0-9]+(?::[0-9]+)?)")
     before = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(raw), F.lit("")), place, F.lit(1)))
     after = F.array_distinct(F.regexp_extract_all(F.col(rendered), place, F.lit(1)))
-    lost = (F.col(exit_code) != 0) & (F.size(before) > 0) & (F.size(F.array_intersect(before, after)) == 0)
+    kept = F.exists(before, lambda b: F.exists(after, lambda a: F.contains(a, b) | F.contains(b, a)))
+    lost = (F.col(exit_code) != 0) & (F.size(before) > 0) & ~kept
     actionable = F.size(F.filter(F.split(F.col(rendered), "\n"), lambda x: T.trim(x).rlike(r"\w") & ~x.rlike(r"^\.\.\. \+")))
-    low = (F.col("raw_tokens") >= 96) & (F.col("savings_pct") < 15)
-    worse = F.when(F.col("saved_tokens") >= 0, 0).when(F.col("raw_tokens") < 32, 10).otherwise(40)
-    score = 100 - F.when(actionable == 0, 60).otherwise(0) - F.when(lost, 30).otherwise(0) - F.when(low, 15).otherwise(0) - worse
+    raw_t, out_t, saved = F.col("raw_tokens"), F.col("filtered_tokens"), F.col("saved_tokens")
+    material = (raw_t >= 96) | (out_t >= 64)
+    chance = (raw_t >= 128) | (out_t >= 96) | (saved >= 24)
+    tiny = (raw_t < 32) & (out_t < 32) & (-saved <= 4)
+    least = F.when((raw_t >= 256) | (out_t >= 192), 10.0).otherwise(8.0)
+    low = chance & ~((saved < 0) & tiny) & (F.col("savings_pct") < least)
+    used = F.when((fell >= 100) & material, 20).when((fell >= 50) & chance, 10).otherwise(0)
+    worse = F.when(saved >= 0, 0).when(tiny, 10).otherwise(40)
+    score = 100 - F.when(actionable == 0, 60).otherwise(0) - F.when(lost, 30).otherwise(0) - used - F.when(low, 15).otherwise(0) - worse
     return df.withColumn("quality", F.greatest(F.lit(0), score))
 
 
-def measure(df: DataFrame, text: str, expected: str | None = None) -> DataFrame:
-    """Fixtures with their gates: whether the expected fragments survive, and savings and quality reach their least values."""
-    if expected is None:
-        return df
-    missing = F.filter(F.col(expected), lambda x: ~F.contains(F.col("rendered"), x))
-    return df.withColumn("lost", missing).withColumn("ok", (F.size(missing) == 0) & (F.col("savings_pct") >= F.col("min_token_savings")) & (F.col("quality") >= F.col("min_quality_score")))
+def measure(fixtures: DataFrame, options: EngineOptions = EngineOptions(fast_path=False)) -> DataFrame:
+    """``name, profile_name, raw_tokens, filtered_tokens, savings_pct, quality, lost, ok`` of fixtures with their gates.
+
+    ``fixtures``: ``name, profile_name, command, exit_code, text, expected, min_savings, min_quality``; ``lost`` are the
+    expected fragments that didn't survive.
+    """
+    r = render(fixtures, "text", "exit_code", "profile_name", options, F.col("command"))
+    r = quality(r, "text", "rendered", "exit_code")
+    r = r.withColumn("lost", F.filter("expected", lambda x: ~F.contains(F.col("rendered"), x)))
+    ok = (F.size("lost") == 0) & (F.col("savings_pct") >= F.col("min_savings")) & (F.col("quality") >= F.col("min_quality"))
+    return r.select("name", "profile_name", "raw_tokens", "filtered_tokens", "savings_pct", "quality", "lost", ok.alias("ok"))
+
+
+# --- earlier runs -----------------------------------------------------------------------------------------------------
+
+
+def age(seconds: Column) -> Column:
+    """Seconds as the largest whole unit."""
+    s = F.greatest(seconds.cast("bigint"), F.lit(0))
+    say = lambda d, u: F.concat(F.floor(s / d).cast("string"), F.lit(u))
+    return F.when(s < 60, say(1, "s")).when(s < 3600, say(60, "m")).when(s < 86_400, say(3600, "h")).otherwise(say(86_400, "d"))
+
 
+def reference_render(df: DataFrame, rendered: str, ref: str, seconds: str, count: str, failed: Column) -> DataFrame:
+    """Adds ``reference``: the head of a render that is that of an earlier run, and where to find the rest; null if not cheaper.
 
-def delta_digest(pairs: DataFrame, new: str, old: str, most: int = 24) -> DataFrame:
+    The head is the first line, or of a failing run the first critical lines.
+    """
+    ls = F.filter(F.split(F.coalesce(F.col(rendered), F.lit("")), "\n"), lambda x: T.trim(x) != "")
+    critical = F.slice(F.filter(ls, lambda x: T.trim(x).rlike(CRITICAL)), 1, FAILURE_HEAD)
+    head = F.when(failed & (F.size(critical) > 0), critical).otherwise(F.slice(ls, 1, 1))
+    line = F.concat(F.lit("unchanged from previous run ("), age(F.col(seconds)), F.lit(" ago, x"), F.col(count).cast("string"), F.lit(" identical) [ref: "), F.col(ref), F.lit("]"))
+    text = F.array_join(F.concat(head, F.array(line)), "\n")
+    return df.withColumn("reference", F.when(T.estimate_tokens(text) < T.estimate_tokens(F.coalesce(F.col(rendered), F.lit(""))), text))
+
+
+def changed_lines(old: str | None, new: str | None) -> tuple[list[str], list[str]]:
+    """Lines of the new text that the old one lacks, and the other way round, counted one for one."""
+
+    def split(t: str | None) -> list[str]:
+        return (t or "").removesuffix("\n").split("\n")
+
+    def excess(a: list[str], b: list[str]) -> list[str]:
+        left, out = Counter(b), []
+        for x in a:
+            if left[x] > 0:
+                left[x] -= 1
+            else:
+                out.append(x)
+        return out
+
+    a, b = split(new), split(old)
+    return excess(a, b), excess(b, a)
+
+
+def digest(old: str | None, new: str | None, rendered: str | None, seconds: float, ref: str) -> str | None:
+    """What changed since an earlier run: critical additions first and all of them, at most 24 lines in all otherwise.
+
+    None unless even the whole difference is cheaper than the render.
+    """
+    added, gone = changed_lines(old, new)
+    s = max(0, int(seconds))
+    span = f"{s}s" if s < 60 else f"{s // 60}m" if s < 3600 else f"{s // 3600}h" if s < 86_400 else f"{s // 86_400}d"
+    head = f"since last run ({span} ago): +{len(added)} -{len(gone)} lines [baseline: {ref}]"
+    hot = [bool(_CRITICAL.search(x.strip())) for x in added]
+    cands = [(0, "+" + x) for x, h in zip(added, hot) if h] + [(1, "+" + x) for x, h in zip(added, hot) if not h] + [(2, "-" + x) for x in gone]
+    cost = estimate(rendered or "")
+    if estimate(head + "\n") + sum(estimate(x + "\n") for _, x in cands) >= cost:
+        return None
+    kept, lost = fit(cands, max(DIGEST_LINES, sum(hot)), 0)
+    text = "\n".join([head, *kept, *([f"... +{lost} more changes"] if lost else [])])
+    return text if estimate(text) < cost else None
+
+
+@F.pandas_udf(Ty.StringType())
+def _digest(old: pd.Series, new: pd.Series, rendered: pd.Series, seconds: pd.Series, ref: pd.Series) -> pd.Series:
+    return pd.Series([digest(a, b, r, s, f) for a, b, r, s, f in zip(old, new, rendered, seconds, ref)], dtype=object)
+
+
+def delta_digest(pairs: DataFrame, new: str, old: str, rendered: str, seconds: str, ref: str) -> DataFrame:
     """Adds ``digest``: what changed since the baseline, if that is cheaper than the rendering; null otherwise."""
-    lines = lambda c: F.split(F.regexp_replace(F.coalesce(F.col(c), F.lit("")), "\n$", ""), "\n")
-    df = pairs.withColumns({"__new": lines(new), "__old": lines(old)}).withColumns({"__add": F.array_except("__new", "__old"), "__del": F.array_except("__old", "__new")})
-    head = F.format_string("since last run: +%d -%d lines", F.size("__add"), F.size("__del"))
-    body = F.concat(F.transform("__add", lambda x: F.concat(F.lit("+"), x)), F.transform("__del", lambda x: F.concat(F.lit("-"), x)))
-    shown = F.concat(F.array(head), F.slice(body, 1, most), F.when(F.size(body) > most, F.array(F.concat(F.lit("... +"), (F.size(body) - most).cast("string"), F.lit(" more lines")))).otherwise(F.array().cast("array<string>")))
-    full = T.estimate_tokens(F.array_join(F.concat(F.array(head), body), "\n"))
-    text = F.array_join(shown, "\n")
-    return df.withColumn("digest", F.when(full < T.estimate_tokens(F.col(new)), text)).drop("__new", "__old", "__add", "__del")
+    return pairs.withColumn("digest", _digest(F.col(old), F.col(new), F.col(rendered), F.col(seconds), F.col(ref)))
+
+
+def session_renders(df: DataFrame, options: EngineOptions = EngineOptions()) -> DataFrame:
+    """``id, kind, shown``: renders as a session shows them: a repeat as its reference, a changed run as its difference, else whole.
+
+    ``df``: ``id, ts, fingerprint, cwd, exit_code, profile, text`` (``scope``, ``truncated`` where known). A reference or
+    difference is only taken where it is cheaper.
+    """
+    o, window = options, options.dedup_window_minutes * 60
+    h = df.withColumn("raw_hash", dedup.content_hash(F.coalesce("text", F.lit("")))).drop("text")
+    r = render(df, "text", "exit_code", "profile", o).select("id", "rendered", "exit_code", "profile", "ts")
+    at = h.select(F.col("id").alias("prev_id"), F.col("ts").alias("prev_ts"), dedup.reference(F.col("raw_hash")).alias("prev_ref"))
+    past = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prev_ts").cast("timestamp"))
+    out = r.withColumns({"reference": F.lit(None).cast("string"), "digest": F.lit(None).cast("string")})
+    if o.session_dedup:
+        reps = dedup.exact_repeats(h, window).select("id", "prev_id").join(at, "prev_id")
+        reps = out.drop("reference").join(reps, "id").withColumn("s", past / 1_000_000).withColumn("n", F.lit(2))
+        reps = reference_render(reps, "rendered", "prev_ref", "s", "n", Ro.failed(F.col("exit_code"), F.col("profile"))).select("id", F.col("reference"))
+        out = out.drop("reference").join(reps, "id", "left")
+    if o.delta_render:
+        base = dedup.delta_baselines(h, window).join(at, "prev_id")
+        texts = df.select("id", F.col("text").alias("new"))
+        both = base.join(texts, "id").join(texts.select(F.col("id").alias("prev_id"), F.col("new").alias("old")), "prev_id").join(r.select("id", "rendered", "ts"), "id")
+        d = delta_digest(both.withColumn("s", past / 1_000_000), "new", "old", "rendered", "s", "prev_ref").select("id", "digest")
+        out = out.drop("digest").join(d, "id", "left")
+    kind = F.when(F.col("reference").isNotNull(), "reference").when(F.col("digest").isNotNull(), "digest").otherwise("whole")
+    return out.select("id", kind.alias("kind"), F.coalesce("reference", "digest", "rendered").alias("shown"))
+
+
+def with_recovery(df: DataFrame, rendered: str, omitted: Column, path: str) -> DataFrame:
+    """The render with a line that says what is left out and where all of it is; unchanged where nothing is or no path is known."""
+    line = F.concat(F.lit("[recovery: "), omitted.cast("string"), F.lit(" more lines; full output: "), F.col(path), F.lit("]"))
+    body = F.regexp_replace(F.coalesce(F.col(rendered), F.lit("")), "\n+$", "")
+    return df.withColumn(rendered, F.when((omitted > 0) & (F.coalesce(F.col(path), F.lit("")) != ""), F.concat_ws("\n", F.nullif(body, F.lit("")), line)).otherwise(F.col(rendered)))
+
+
+# --- budgets from the past ----------------------------------------------------------------------------------------------
+
+RANK = {"high": 3, "medium": 2, "low": 1}
+HEAVY = {"high": 75, "medium": 50, "low": 35}  # percent that a fallback-heavy command may loosen, by confidence
+DELTAS = {"lines": 2, "bytes": 64, "tokens": 12}  # smaller changes are not worth it
+
+
+def adapt_budgets(runs: DataFrame, suggestions: DataFrame, tighten: int = 20, loosen: int = 25, heavy: bool = True, least: str | None = "medium", min_samples: int = 0) -> DataFrame:
+    """Adds ``adapted_lines, adapted_bytes, adapted_tokens, adaptation``: budgets moved towards what the past suggests, within bounds.
+
+    ``runs``: ``fingerprint, profile, budget_lines``. ``suggestions``: one row a fingerprint with ``profile, direction, reason,
+    confidence, samples, max_lines, max_bytes, max_tokens``. A suggestion for another profile, of less confidence than ``least``
+    or with a change below ``DELTAS`` is not taken. History uses the defaults; hints of a gateway 10, 15, no heavy loosening,
+    no least confidence and 20 samples.
+    """
+    s = suggestions.select("fingerprint", F.col("profile").alias("s_profile"), "direction", "reason", "confidence", "samples", *[F.col(f"max_{k}").alias(f"s_{k}") for k in DELTAS])
+    d = runs.join(s, "fingerprint", "left")
+    rank = F.element_at(F.create_map(*[F.lit(x) for kv in RANK.items() for x in kv]), F.col("confidence"))
+    ok = (F.col("s_profile") == F.col("profile")) & (F.col("samples") >= min_samples)
+    if least:
+        ok &= rank >= RANK[least]
+    more = F.lit(loosen)
+    if heavy:
+        h = F.element_at(F.create_map(*[F.lit(x) for k, v in HEAVY.items() for x in (k, max(v, loosen))]), F.col("confidence"))
+        more = F.when(F.col("reason") == "fallback_heavy", h).otherwise(more)
+    base = {"lines": F.col("budget_lines"), "bytes": F.col("budget_lines") * 160, "tokens": F.col("budget_lines") * 32}
+    up = lambda v, pct: F.floor((v * pct + 99) / 100)
+    new = {k: F.when(F.col("direction") == "tighten", F.greatest(F.col(f"s_{k}"), up(v, 100 - tighten))).otherwise(F.least(F.col(f"s_{k}"), up(v, 100 + more))) for k, v in base.items()}
+    new["lines"] = F.least(F.greatest(new["lines"], F.lit(3)), F.lit(40))
+    diff = {k: new[k] - base[k] for k in base}
+    material, down, rise = F.lit(False), F.lit(True), F.lit(True)
+    for k, x in diff.items():
+        material |= F.abs(x) >= DELTAS[k]
+        down &= x <= 0
+        rise &= x >= 0
+    ok &= material & F.when(F.col("direction") == "tighten", down).otherwise(rise)
+    d = d.withColumn("__ok", F.coalesce(ok, F.lit(False)))
+    d = d.withColumns({f"adapted_{k}": F.when(F.col("__ok"), new[k]).otherwise(base[k]).cast("bigint") for k in base} | {"adaptation": F.when(F.col("__ok"), F.col("direction"))})
+    return d.drop("__ok", "s_profile", "direction", "reason", "confidence", "samples", *[f"s_{k}" for k in DELTAS])

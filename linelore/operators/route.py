@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What runs another command: its own words are skipped. Fixed values.
@@ -138,3 +138,35 @@ def rule_matches(words: Column, cwd: Column, prefix: list[str] = (), all_args: l
     if exclude:
         ok &= ~F.arrays_overlap(words, arr(exclude))
     return ok & F.contains(F.coalesce(cwd, F.lit("")), F.lit(cwd_contains)) if cwd_contains else ok
+
+
+def shell_words(command: Column) -> Column:
+    """The words of a command line: quotes hold words together and go, a backslash keeps the next character; ``sh -c '...'`` is what it runs."""
+    word = r"""((?:[^\s"'\\]|\\.|"(?:[^"\\]|\\.)*"|'[^']*')+)"""
+    bare = lambda w: F.regexp_replace(F.regexp_replace(w, r"""'([^']*)'|"((?:[^"\\]|\\.)*)\"""", "$1$2"), r"\\(.)", "$1")
+
+    def split(c: Column) -> Column:
+        return F.transform(F.regexp_extract_all(c, F.lit(word), F.lit(1)), bare)
+
+    def inner(ws: Column) -> Column:
+        shell = F.get(ws, F.lit(0)).isin("sh", "bash", "zsh") & F.get(ws, F.lit(1)).rlike("^-[a-z]*c$") & (F.size(ws) >= 3)
+        return F.when(shell, split(F.get(ws, F.lit(2)))).otherwise(ws)
+
+    return F.get(F.transform(F.array(split(command)), inner), F.lit(0))
+
+
+def explain(df: DataFrame, command: str) -> DataFrame:
+    """``command, words, profile, family``: how the router reads each command."""
+    d = df.select(F.col(command).alias("command"), unwrap(F.transform(shell_words(F.col(command)), F.lower)).alias("words"))
+    return d.select("command", F.array_join("words", " ").alias("words"), profile(F.col("words")).alias("profile"), F.coalesce(F.get("words", F.lit(0)), F.lit("")).alias("family"))
+
+
+def rule_profiles(df: DataFrame, words: Column, cwd: Column, rules: list[dict], builtin: Column) -> DataFrame:
+    """Adds ``profile``: the first of a project's rules that applies, else the builtin one. A rule's profile shadows a builtin of its name.
+
+    A rule: ``profile`` and any of ``prefix, all_args, any_args, exclude, cwd_contains``.
+    """
+    out = builtin
+    for r in reversed(rules):
+        out = F.when(F.coalesce(rule_matches(words, cwd, **{k: v for k, v in r.items() if k != "profile"}), F.lit(False)), r["profile"]).otherwise(out)
+    return df.withColumn("profile", out)

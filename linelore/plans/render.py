@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from linelore.functions import text as T
+from linelore.functions.fingerprint import fingerprint
 from linelore.operators import dedup as D
 from linelore.operators import domain as M
 from linelore.operators import history as H
 from linelore.operators import lines as L
 from linelore.operators import render as R
+from linelore.operators import reduce as RD
 from linelore.operators import route
+from linelore.plans import fixtures
 from linelore.plans.joins import _runs
 from linelore.plans.text import NO_ANSI, _LINES, trim_sql
 from linelore.session import table
@@ -30,28 +33,73 @@ def binary_sniff(spark, root):
     return table(spark, root, "documents").select("doc_id", R.is_binary(F.coalesce("text", F.lit(""))).alias("binary"))
 
 
+def _rendered(spark, root, **options):
+    c = table(spark, root, "captures").select("capture_id", "exit_code", "profile_name", F.array_join("command", " ").alias("command"), F.col("raw_combined").alias("text"))
+    return R.render(c, "text", "exit_code", "profile_name", R.EngineOptions(**options), F.col("command"))
+
+
 def render_captures(spark, root):
-    return R.render(_c(spark, root), "text", "exit_code", "profile_name").select("capture_id", "route", "raw_tokens", "budget_lines", "filtered_tokens", "saved_tokens", "savings_pct", "repairs", "rendered")
+    return _rendered(spark, root).select("capture_id", "route", "raw_tokens", "budget_lines", "bypassed", "filtered_tokens", "saved_tokens", "savings_pct", "repairs", "rendered")
 
 
 def render_savings(spark, root):
-    r = R.render(_c(spark, root), "text", "exit_code", "profile_name")
-    return r.groupBy("profile_name").agg(F.count("*").alias("n"), F.sum("raw_tokens").alias("raw"), F.sum("filtered_tokens").alias("filtered"))
+    return _rendered(spark, root).groupBy("profile_name").agg(F.count("*").alias("n"), F.sum("raw_tokens").alias("raw"), F.sum("filtered_tokens").alias("filtered"))
+
+
+def render_ultra_compact(spark, root):
+    return _rendered(spark, root, ultra_compact=True).select("capture_id", "filtered_tokens", "rendered")
+
+
+def render_recovery(spark, root):
+    r = _rendered(spark, root).withColumn("path", F.concat(F.lit("out/"), F.col("capture_id").cast("string"), F.lit(".txt")))
+    omitted = F.size(L.reducer_lines(F.coalesce("text", F.lit("")))) - F.size(L.reducer_lines(F.col("rendered")))
+    return R.with_recovery(r, "rendered", omitted, "path").select("capture_id", "rendered")
+
+
+def fast_path(spark, root):
+    """Which outputs are shown as they are."""
+    return _rendered(spark, root).select("capture_id", "bypassed")
+
+
+def fixture_measurements(spark, root):
+    """The acceptance corpus: savings and quality of each kind against its gates."""
+    return R.measure(spark.createDataFrame(fixtures.fixtures(), fixtures.SCHEMA)).withColumn("lost", F.concat_ws(", ", "lost"))
 
 
 def quality_score(spark, root):
-    r = R.render(_c(spark, root), "text", "exit_code", "profile_name")
-    return R.quality(r, "text", "rendered", "exit_code").select("capture_id", "quality")
+    return R.quality(_rendered(spark, root), "text", "rendered", "exit_code").select("capture_id", "quality")
 
 
 def retention_verify(spark, root):
-    r = R.render(_c(spark, root), "text", "exit_code", "profile_name")
-    return r.select("capture_id", "missing", "repairs")
+    return _rendered(spark, root).select("capture_id", "missing", "repairs")
 
 
 def never_worse_than_raw(spark, root):
-    r = R.render(_c(spark, root), "text", "exit_code", "profile_name")
-    return r.groupBy((F.col("filtered_tokens") <= F.col("raw_tokens")).alias("ok")).agg(F.count("*").alias("n"))
+    return _rendered(spark, root).groupBy((F.col("filtered_tokens") <= F.col("raw_tokens")).alias("ok")).agg(F.count("*").alias("n"))
+
+
+def _session(spark, root):
+    c = table(spark, root, "captures")
+    return c.select(F.col("capture_id").alias("id"), F.col("captured_at").alias("ts"), fingerprint(F.array_join("command", " ")).alias("fingerprint"), "cwd", "exit_code", F.col("profile_name").alias("profile"), F.col("raw_combined").alias("text"))
+
+
+def session_renders(spark, root):
+    return R.session_renders(_session(spark, root), R.EngineOptions(dedup_window_minutes=7 * 24 * 60))
+
+
+def _budgeted(spark, root):
+    h = table(spark, root, "history").where("command_fingerprint is not null").select("seq", F.col("command_fingerprint").alias("fingerprint"), "profile", "profile_confidence")
+    return h.withColumn("budget_lines", R.budget_lines(F.col("profile"), F.lit(""), R.EngineOptions()))
+
+
+def history_budget_adapter(spark, root):
+    s = H.budget_suggestions(table(spark, root, "history"), lookback=None)
+    return R.adapt_budgets(_budgeted(spark, root), s).select("seq", "adapted_lines", "adapted_bytes", "adapted_tokens", "adaptation")
+
+
+def gateway_budget_adapter(spark, root):
+    s = H.budget_suggestions(table(spark, root, "history"), lookback=None)
+    return R.adapt_budgets(_budgeted(spark, root), s, 10, 15, False, None, 20).select("seq", "adapted_lines", "adapted_bytes", "adapted_tokens", "adaptation")
 
 
 def hard_cap_tokens(spark, root):
@@ -72,11 +120,20 @@ def budget_lines(spark, root):
     return p.select("profile", "profile_confidence", *[R.budget_lines(F.col("profile"), F.col("profile_confidence"), o).alias(o.reasoning_budget_mode) for o in modes])
 
 
-def delta_digests(spark, root):
+def _pairs(spark, root):
     p = D.delta_baselines(_runs(spark, root), 30 * 86_400)
     c = table(spark, root, "captures").select("capture_id", "raw_combined")
-    p = p.join(c.select(F.col("capture_id").alias("id"), F.col("raw_combined").alias("new")), "id").join(c.select(F.col("capture_id").alias("prev_id"), F.col("raw_combined").alias("old")), "prev_id")
-    return R.delta_digest(p, "new", "old").select("id", "prev_id", "digest")
+    return p.join(c.select(F.col("capture_id").alias("id"), F.col("raw_combined").alias("new")), "id").join(c.select(F.col("capture_id").alias("prev_id"), F.col("raw_combined").alias("old")), "prev_id")
+
+
+def delta_digests(spark, root):
+    p = _pairs(spark, root).withColumns({"s": F.lit(60), "ref": D.reference(D.content_hash(F.coalesce("old", F.lit(""))))})
+    return R.delta_digest(p, "new", "old", "new", "s", "ref").select("id", "prev_id", "digest")
+
+
+def excess_lines(spark, root):
+    """The lines that a run has more of than its baseline, one for one."""
+    return D.excess_lines(_pairs(spark, root).select("id", "new", "old"), "new", "old")
 
 
 def profile_route(spark, root):
@@ -118,10 +175,29 @@ def status_counts(spark, root):
 
 
 def tool_reductions(spark, root):
-    return M.reduce_by_tool(_c(spark, root), "capture_id", "text", "profile_name")
+    """What the reducer of its profile shows of each capture, before any contract."""
+    c = table(spark, root, "captures").select("capture_id", "raw_combined", "profile_name", "exit_code", F.array_join("command", " ").alias("command"))
+    return RD.reduce_texts(c, "raw_combined", "profile_name", "exit_code", "command").select("capture_id", "profile_name", "reduced")
+
+
+def rollouts(spark, root):
+    return M.applied(_lines(spark, root))
+
+
+def compose_states(spark, root):
+    return M.last_states(_lines(spark, root), M.COMPOSE)
+
+
+def pipeline_statuses(spark, root):
+    return M.pipelines(_lines(spark, root))
+
+
+def explain_route(spark, root):
+    """What the router says about each distinct command: its words without wrappers, profile, and the limits of its fast path."""
+    return route.explain(table(spark, root, "history").where("command is not null").select("command").distinct(), "command")
 
 
-_LIST = (content_route, binary_sniff, render_captures, render_savings, quality_score, retention_verify, never_worse_than_raw, hard_cap_tokens, fit_priority_lines, budget_lines, delta_digests, profile_route, failure_exits, layer_states, rollout_states, check_states, test_results, listing_counts, status_counts, tool_reductions)
+_LIST = (content_route, binary_sniff, render_captures, render_savings, render_ultra_compact, render_recovery, fast_path, fixture_measurements, quality_score, retention_verify, never_worse_than_raw, session_renders, history_budget_adapter, gateway_budget_adapter, hard_cap_tokens, fit_priority_lines, budget_lines, delta_digests, excess_lines, profile_route, explain_route, failure_exits, layer_states, rollout_states, check_states, compose_states, pipeline_statuses, rollouts, test_results, listing_counts, status_counts, tool_reductions)
 QUERIES = {f.__name__: f for f in _LIST}
 
 _TL = f"l AS (SELECT id AS record_id, line_no, regexp_replace(line, '[\\s\\x0B]+$', '') AS line FROM ({_LINES.format(src='SELECT capture_id AS id, replace(' + NO_ANSI + ', chr(13), chr(0)) AS t FROM captures').replace('chr(0)', repr(''))}) WHERE {trim_sql('line')} <> '')"

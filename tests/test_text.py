@@ -107,6 +107,3 @@ def test_tools(spark):
     assert env["AWS"] == ["AWS_KEY=<redacted len=3>", "AWS_REGION=eu"]
     ev = '{"Action":"fail","Package":"p","Test":"TestA"}\n{"Action":"fail","Package":"p"}\n{"Action":"pass","Package":"q"}'
     assert rows(domain.test_events(mk(ev))) == [(1, "p", "fail", ["TestA"]), (1, "q", "pass", [])]
-    pyt = "collected 3 items\nFAILED tests/t.py::x - assert\nE   boom\n=== 1 failed, 2 passed in 1s ==="
-    got = domain.tiered(spark.createDataFrame([(1, pyt), (2, None)], "id int, t string"), "id", "t", domain.RULES["pytest"], 3)
-    assert {r.record_id: r.rendered for r in got.collect()} == {1: "FAILED tests/t.py::x - assert\nE   boom\n=== 1 failed, 2 passed in 1s ===", 2: "ok"}
