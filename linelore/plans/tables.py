@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from linelore.operators import lines as L
 from linelore.operators import search as S
 from linelore.operators import tables as B
+from linelore.plans.text import NO_ANSI_PATTERN
 from linelore.session import table
 
 _OC = ["o_orderstatus", "o_orderpriority"]
@@ -162,3 +163,12 @@ SELECT key, CASE WHEN k IN ('id', 'ids', 'uuid', 'uid', 'ocid', 'arn', 'name', '
  WHEN ends_with(k, 'id') THEN 4 WHEN contains(k, 'name') THEN 5 WHEN contains(k, 'status') OR contains(k, 'state') THEN 6 WHEN contains(k, 'time') OR contains(k, 'date') THEN 7
  WHEN contains(k, 'error') OR contains(k, 'message') OR contains(k, 'reason') THEN 8 ELSE 100 END AS priority FROM n""",
 }
+SQL["json_routing"] = """WITH t AS (SELECT regexp_replace(raw_line, '^\\s+|\\s+$', '', 'g') AS t FROM history_lines), l AS (SELECT t, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS ls FROM t)
+SELECT CASE WHEN json_valid(t) AND t[1] IN ('{', '[') THEN 'json' WHEN len(ls) > 1 AND len(list_filter(ls, lambda x: json_valid(x) AND x[1] IN ('{', '['))) = len(ls) THEN 'ndjson' ELSE 'text' END AS route, count(*) AS n FROM l GROUP BY 1"""
+_LS = "list_filter(list_transform(string_split(replace({c}, chr(13), ''), chr(10)), lambda x: regexp_replace(x, '[\\s\\x0B]+$', '')), lambda x: x <> '')"
+SQL["sql_output_delimiter"] = f"""WITH l AS (SELECT doc_id, {_LS.format(c="regexp_replace(text, '" + NO_ANSI_PATTERN + "', '', 'g')")} AS ls FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN len(ls) = 0 THEN NULL WHEN len(list_filter(ls, lambda x: contains(x, '|'))) * 3 >= len(ls) * 2 THEN '|' WHEN len(list_filter(ls, lambda x: contains(x, chr(9)))) * 3 >= len(ls) * 2 THEN chr(9)
+ WHEN len(list_filter(ls, lambda x: contains(x, ','))) * 3 >= len(ls) * 2 THEN ',' END AS delimiter FROM l"""
+SQL["wide_table_rows"] = f"""WITH l AS (SELECT capture_id AS record_id, unnest(string_split(replace(regexp_replace(raw_combined, '{NO_ANSI_PATTERN}', '', 'g'), chr(13), ''), chr(10))) AS x FROM captures WHERE raw_combined IS NOT NULL),
+c AS (SELECT record_id, len(list_filter(list_transform(regexp_split_to_array(regexp_replace(x, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g'), '\\t+|[\\s\\x0B]{{2,}}'), lambda y: regexp_replace(y, '^[\\s\\x0B]+|[\\s\\x0B]+$', '', 'g')), lambda y: y <> ''))::INT AS width FROM l)
+SELECT record_id, width, count(*) AS n FROM c WHERE width >= 2 GROUP BY ALL"""

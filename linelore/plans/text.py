@@ -117,7 +117,8 @@ def collapse_sql(c: str) -> str:
     return f"regexp_replace({trim_sql(c)}, '[{_S}]+', ' ', 'g')"
 
 
-NO_ANSI = r"regexp_replace(raw_combined, '\x1b\[[^@-~]*[@-~]', '', 'g')"
+NO_ANSI_PATTERN = r"\x1b\[[^@-~]*[@-~]"
+NO_ANSI = f"regexp_replace(raw_combined, '{NO_ANSI_PATTERN}', '', 'g')"
 # every line of a text with its number: {src} has id and t
 _LINES = "SELECT id, unnest(ls) AS line, generate_subscripts(ls, 1) AS line_no FROM (SELECT id, string_split(t, chr(10)) AS ls FROM ({src}))"
 _SPEC_SRC = "SELECT id, CASE WHEN ls[-1] = '' THEN ls[:-2] ELSE ls END AS ls FROM (SELECT capture_id AS id, string_split(regexp_replace({t}, '\\r\\n?', chr(10), 'g'), chr(10)) AS ls FROM captures WHERE raw_combined IS NOT NULL)"
