@@ -102,18 +102,23 @@ def anchor(line: Column) -> Column:
     return F.when(quick, F.coalesce(*found)).otherwise(F.coalesce(inline, F.lit("")))
 
 
-def severity(line: Column) -> Column:
-    """The level among the first three words behind a line's time, or ``other``."""
+def _severity_of_words(w: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in SEVERITIES.items() for x in kv])
     token = lambda t: F.substring_index(F.lower(F.regexp_replace(t, r"^[\[\]()<>:,;|*]+|[\[\]()<>:,;|*]+$", "")), "=", -1)
+    dated = (F.size(w) >= 3) & F.get(w, F.lit(0)).rlike(r"^[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}$") & _moment(F.get(w, F.lit(1)))
+    rest = F.when(dated, F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0)))).otherwise(_without_moment(w))
+    found = F.filter(F.transform(F.slice(rest, 1, 3), lambda t: F.element_at(names, token(t))), lambda x: x.isNotNull())
+    return F.coalesce(F.get(found, F.lit(0)), F.lit("other"))
+
+
+def severity(line: Column) -> Column:
+    """The level among the first three words behind a line's time, or ``other``."""
+    return let(F.split(collapse(line), " "), _severity_of_words)
 
-    def of_words(w: Column) -> Column:
-        dated = (F.size(w) >= 3) & F.get(w, F.lit(0)).rlike(r"^[0-9]{4}([-/])[0-9]{2}\1[0-9]{2}$") & _moment(F.get(w, F.lit(1)))
-        rest = F.when(dated, F.slice(w, 3, F.greatest(F.size(w) - 2, F.lit(0)))).otherwise(_without_moment(w))
-        found = F.filter(F.transform(F.slice(rest, 1, 3), lambda t: F.element_at(names, token(t))), lambda x: x.isNotNull())
-        return F.coalesce(F.get(found, F.lit(0)), F.lit("other"))
 
-    return let(F.split(collapse(line), " "), of_words)
+def severity_and_key(line: Column) -> Column:
+    """``struct<severity, key>``: both from one division of the line into words."""
+    return let(F.split(collapse(line), " "), lambda w: F.struct(_severity_of_words(w).alias("severity"), _key_of_words(w).alias("key")))
 
 
 def shorten_path(p: Column) -> Column:

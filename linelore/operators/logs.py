@@ -14,7 +14,9 @@ def log_lines(df: DataFrame, record_id: str, text: str) -> DataFrame:
     """``record_id, line_no, line, severity, key, clock`` of the lines that aren't blank, without colour codes."""
     src = df.select(F.col(record_id).alias("record_id"), F.posexplode(F.split(F.regexp_replace(T.strip_ansi(F.col(text)), "\r", ""), "\n")).alias("pos", "raw"))
     src = src.select("record_id", (F.col("pos") + 1).alias("line_no"), T.trim(F.col("raw")).alias("line")).where("line <> ''")
-    return src.withColumns({"severity": T.severity(F.col("line")), "key": T.similar_line_key(F.col("line")), "clock": F.regexp_extract("line", CLOCK, 1)})
+    # the words of a line are made once, for its severity and its key
+    src = src.select("*", T.severity_and_key(F.col("line")).alias("f"), F.regexp_extract("line", CLOCK, 1).alias("clock"))
+    return src.select("record_id", "line_no", "line", "f.severity", "f.key", "clock")
 
 
 def severity_histogram(lines: DataFrame) -> DataFrame:

@@ -6,36 +6,36 @@ from pyspark.sql import DataFrame, SparkSession
 
 from linelore.functions.paths import directory_sql
 from linelore.operators import drift, logparse, sessions
-from linelore.session import table
+from linelore.session import spread_table, table
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
-    changes = drift.schema_changes(table(spark, root, "history_lines"), only=list(drift.ALIASES))
+    changes = drift.schema_changes(spread_table(spark, root, "history_lines"), only=list(drift.ALIASES))
     return changes.select("file_name", "field", "change")
 
 
 def p1_lifespans(spark: SparkSession, root: str) -> DataFrame:
-    return drift.lifespans(drift.footer_catalogue(table(spark, root, "history_lines")))
+    return drift.lifespans(drift.footer_catalogue(spread_table(spark, root, "history_lines")))
 
 
 def p1_records(spark: SparkSession, root: str) -> DataFrame:
-    return drift.unified_records(table(spark, root, "history_lines"))
+    return drift.unified_records(spread_table(spark, root, "history_lines"))
 
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
-    return sessions.work_sessions(table(spark, root, "history")).select("first_seq", "last_seq", "n_records")
+    return sessions.work_sessions(spread_table(spark, root, "history")).select("first_seq", "last_seq", "n_records")
 
 
 def p3_sessions(spark: SparkSession, root: str) -> DataFrame:
-    return sessions.work_sessions(table(spark, root, "history"))
+    return sessions.work_sessions(spread_table(spark, root, "history"))
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
-    return logparse.found_entries(table(spark, root, "captures"), table(spark, root, "usage_lines"))
+    return logparse.found_entries(spread_table(spark, root, "captures"), spread_table(spark, root, "usage_lines"))
 
 
 def p6_entries(spark: SparkSession, root: str) -> DataFrame:
-    return logparse.parse_entries(table(spark, root, "captures"), "capture_id", "raw_combined", "captured_at")
+    return logparse.parse_entries(spread_table(spark, root, "captures"), "capture_id", "raw_combined", "captured_at")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_lifespans, p1_records, p3_found, p3_sessions, p6_found, p6_entries)}

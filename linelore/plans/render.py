@@ -18,25 +18,25 @@ from linelore.plans.history import SQL as history_sql
 from linelore.plans.joins import _BASE as _JOINS_BASE
 from linelore.plans.joins import _runs
 from linelore.plans.text import NO_ANSI, _LINES, trim_sql
-from linelore.session import table
+from linelore.session import spread_table, table
 
 
 def _c(spark, root):
-    return table(spark, root, "captures").select("capture_id", "exit_code", "profile_name", F.col("raw_combined").alias("text"))
+    return spread_table(spark, root, "captures").select("capture_id", "exit_code", "profile_name", F.col("raw_combined").alias("text"))
 
 
 def content_route(spark, root):
     c = _c(spark, root).select(R.content_route(T.strip_ansi(F.col("text"))).alias("route"))
-    d = table(spark, root, "documents").select(R.content_route(F.col("text")).alias("route"))
+    d = spread_table(spark, root, "documents").select(R.content_route(F.col("text")).alias("route"))
     return c.unionByName(d).groupBy("route").agg(F.count("*").alias("n"))
 
 
 def binary_sniff(spark, root):
-    return table(spark, root, "documents").select("doc_id", R.is_binary(F.coalesce("text", F.lit(""))).alias("binary"))
+    return spread_table(spark, root, "documents").select("doc_id", R.is_binary(F.coalesce("text", F.lit(""))).alias("binary"))
 
 
 def _rendered(spark, root, **options):
-    c = table(spark, root, "captures").select("capture_id", "exit_code", "profile_name", F.array_join("command", " ").alias("command"), F.col("raw_combined").alias("text"))
+    c = spread_table(spark, root, "captures").select("capture_id", "exit_code", "profile_name", F.array_join("command", " ").alias("command"), F.col("raw_combined").alias("text"))
     return R.render(c, "text", "exit_code", "profile_name", R.EngineOptions(**options), F.col("command"))
 
 
@@ -81,7 +81,7 @@ def never_worse_than_raw(spark, root):
 
 
 def _session(spark, root):
-    c = table(spark, root, "captures")
+    c = spread_table(spark, root, "captures")
     return c.select(F.col("capture_id").alias("id"), F.col("captured_at").alias("ts"), fingerprint(F.array_join("command", " ")).alias("fingerprint"), "cwd", "exit_code", F.col("profile_name").alias("profile"), F.col("raw_combined").alias("text"))
 
 
@@ -124,7 +124,7 @@ def budget_lines(spark, root):
 
 def _pairs(spark, root):
     p = D.delta_baselines(_runs(spark, root), 30 * 86_400)
-    c = table(spark, root, "captures").select("capture_id", "raw_combined")
+    c = spread_table(spark, root, "captures").select("capture_id", "raw_combined")
     return p.join(c.select(F.col("capture_id").alias("id"), F.col("raw_combined").alias("new")), "id").join(c.select(F.col("capture_id").alias("prev_id"), F.col("raw_combined").alias("old")), "prev_id")
 
 
@@ -178,7 +178,7 @@ def status_counts(spark, root):
 
 def tool_reductions(spark, root):
     """What the reducer of its profile shows of each capture, before any contract."""
-    c = table(spark, root, "captures").select("capture_id", "raw_combined", "profile_name", "exit_code", F.array_join("command", " ").alias("command"))
+    c = spread_table(spark, root, "captures").select("capture_id", "raw_combined", "profile_name", "exit_code", F.array_join("command", " ").alias("command"))
     return RD.reduce_texts(c, "raw_combined", "profile_name", "exit_code", "command").select("capture_id", "profile_name", "reduced")
 
 

@@ -7,15 +7,15 @@ from pyspark.sql import functions as F
 from linelore.functions import text as T
 from linelore.operators import lines as L
 from linelore.operators import logs
-from linelore.session import table
+from linelore.session import spread_table, table
 
 
 def _captures(spark, root):
-    return table(spark, root, "captures").select("capture_id", "exit_code", F.col("raw_combined").alias("text"))
+    return spread_table(spark, root, "captures").select("capture_id", "exit_code", F.col("raw_combined").alias("text"))
 
 
 def token_estimate(spark, root):
-    d = table(spark, root, "documents").where("text is not null")
+    d = spread_table(spark, root, "documents").where("text is not null")
     return d.select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
 
 

@@ -75,3 +75,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def spread_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table whose rows cost much work each: dealt out to all cores where its files have fewer splits than there are cores.
+
+    Large tables have more splits than cores and are read as they are, so nothing is shuffled at scale.
+    """
+    df = table(spark, root, name)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
