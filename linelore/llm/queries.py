@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from linelore.functions.fingerprint import resolved_fingerprint
 from linelore.functions.paths import directory_sql
 from linelore.llm import encoding, heavy_hitters, mixing, nearest_time, quantiles, runs, subjects
-from linelore.session import table
+from linelore.session import spread_table, table
 
 
 def _timings(spark: SparkSession, root: str) -> DataFrame:
@@ -39,11 +39,11 @@ def p4_profiles(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, root: str) -> DataFrame:
-    return runs.found_runs(table(spark, root, "captures"))
+    return runs.found_runs(spread_table(spark, root, "captures"))
 
 
 def p5_collapsed(spark: SparkSession, root: str) -> DataFrame:
-    return runs.collapsed(table(spark, root, "captures"), "capture_id", "raw_combined")
+    return runs.collapsed(spread_table(spark, root, "captures"), "capture_id", "raw_combined")
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
@@ -57,21 +57,21 @@ def p7_counts(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, root: str) -> DataFrame:
-    return encoding.encode(table(spark, root, "documents"), ["doc_id"])
+    return encoding.encode(spread_table(spark, root, "documents"), ["doc_id"])
 
 
 def p8_round_trip(spark: SparkSession, root: str) -> DataFrame:
     """``doc_id, n_chars``: the length of each text after encoding and decoding."""
-    return encoding.decode(encoding.encode(table(spark, root, "documents").where("text is not null"), ["doc_id"]), ["doc_id"]).select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("hash"))
+    return encoding.decode(encoding.encode(spread_table(spark, root, "documents").where("text is not null"), ["doc_id"]), ["doc_id"]).select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("hash"))
 
 
 def p8_tree(spark: SparkSession, root: str) -> DataFrame:
     """``doc_id, leaves, joins``: how many pieces each text was reduced from."""
-    return encoding.tree_size(table(spark, root, "documents"), ["doc_id"])
+    return encoding.tree_size(spread_table(spark, root, "documents"), ["doc_id"])
 
 
 def p9_selection(spark: SparkSession, root: str) -> DataFrame:
-    return mixing.select_mix(table(spark, root, "documents"), table(spark, root, "mix_targets"))
+    return mixing.select_mix(spread_table(spark, root, "documents"), table(spark, root, "mix_targets"))
 
 
 def p9_shares(spark: SparkSession, root: str) -> DataFrame:
@@ -79,7 +79,7 @@ def p9_shares(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, root: str) -> DataFrame:
-    return subjects.document_subjects(table(spark, root, "documents"), table(spark, root, "subject_labels"), table(spark, root, "subjects"))
+    return subjects.document_subjects(spread_table(spark, root, "documents"), table(spark, root, "subject_labels"), table(spark, root, "subjects"))
 
 
 def p10_composition(spark: SparkSession, root: str) -> DataFrame:
