@@ -72,5 +72,24 @@ def failure_summary(items: DataFrame, most: int = 12) -> DataFrame:
 
 
 def source_messages(entries: DataFrame) -> DataFrame:
-    """``component, message, n``: messages of each source with digits and hexadecimal words masked."""
+    """``component, template, n``: messages of each source with digits and hexadecimal words masked."""
     return entries.groupBy("component", T.template_key(F.col("message")).alias("template")).agg(F.count("*").alias("n"))
+
+
+def stream_messages(lines: DataFrame) -> DataFrame:
+    """``record_id, source, message, n, first_line``: lines behind the label of their stream (``name-1 | ``), by message; ``log`` without one."""
+    label = r"^([A-Za-z][\w.-]*-[0-9]+) +\| ?"
+    source = F.regexp_extract("line", label, 1)
+    m = lines.select("record_id", "line_no", F.when(source == "", "log").otherwise(source).alias("source"), T.template_key(F.regexp_replace("line", label, "")).alias("message"))
+    return m.groupBy("record_id", "source", "message").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line"))
+
+
+def event_stats(events: DataFrame, source: str, stamp: str, kind: str) -> DataFrame:
+    """``kind, n, sources, first, last``: events of each kind, how many sources they have, and their first and last written time."""
+    return events.groupBy(F.col(kind).alias("kind")).agg(F.count("*").alias("n"), F.count_distinct(source).alias("sources"), F.min(F.col(stamp).cast("string")).alias("first"), F.max(F.col(stamp).cast("string")).alias("last"))
+
+
+def template_groups(lines: DataFrame) -> DataFrame:
+    """``template, n, severity``: the templates of all lines; severity is the worst that occurs."""
+    order = F.create_map(*[F.lit(x) for kv in (("FATAL", 0), ("ERROR", 1), ("WARN", 2), ("INFO", 3), ("DEBUG", 4), ("TRACE", 5), ("other", 6)) for x in kv])
+    return lines.groupBy(T.template_key(F.col("line")).alias("template")).agg(F.count("*").alias("n"), F.min_by("severity", F.element_at(order, F.col("severity"))).alias("severity"))

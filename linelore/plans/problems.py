@@ -130,3 +130,12 @@ v AS (SELECT line_id, CASE WHEN p.y <> '' THEN epoch_ms(TRY_CAST(p.y || '-' || p
 SQL["p6_found"] = f"""WITH {_ENTRIES}, {_STAMP}
 SELECT 'captures' AS record_table, rid AS record_id, no AS first_line, last_line, ts_ms, level, component FROM x
 UNION ALL SELECT 'usage_lines', line_id, 1, 1, ts_ms, '', '' FROM v WHERE ts_ms IS NOT NULL"""
+# The islands of every field's shape over the files of its origin; a path that no alias names is a field of its own.
+SQL["p1_lifespans"] = _SHAPES.split("counted AS")[0] + """named AS (SELECT * EXCLUDE (field), coalesce(field, path) AS field FROM typed),
+counted AS (SELECT origin, file_no, file_name, field, path, type, count(*) AS n FROM named GROUP BY ALL),
+shapes AS (SELECT * FROM counted QUALIFY row_number() OVER (PARTITION BY origin, file_no, file_name, field ORDER BY n DESC, path, type) = 1),
+files AS (SELECT *, row_number() OVER (PARTITION BY origin ORDER BY file_no, file_name) AS ord, count(*) OVER (PARTITION BY origin) AS n_files FROM (SELECT DISTINCT origin, file_no, file_name FROM history_lines)),
+s AS (SELECT f.origin, f.ord, f.n_files, s.field, s.path, s.type FROM shapes s JOIN files f USING (origin, file_no, file_name)),
+b AS (SELECT *, CASE WHEN lag(path) OVER w = path AND lag(type) OVER w = type AND lag(ord) OVER w = ord - 1 THEN 0 ELSE 1 END AS fresh FROM s WINDOW w AS (PARTITION BY origin, field ORDER BY ord)),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY origin, field ORDER BY ord) AS island FROM b)
+SELECT origin, field, min(path) AS path, min(type) AS type, min(ord)::INT AS first_ord, max(ord)::INT AS last_ord, max(n_files) AS n_files FROM g GROUP BY origin, field, island"""
