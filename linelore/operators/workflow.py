@@ -36,26 +36,41 @@ def floor_percentile(h: DataFrame, key: str, value: str, p: float, name: str) ->
     return v.where(F.col("upto") > F.floor((F.col("total") - 1) * F.lit(p))).groupBy(key).agg(F.min("v").alias(name))
 
 
-def workflow_hotspots(df: DataFrame) -> DataFrame:
-    """One row a fingerprint: runs, rates, p50 and p95 of durations, its signals, and how well it is covered (0 to 100).
+# Signals of a hotspot and what each adds to its coverage score; the least raw and filtered tokens of an average run (either
+# is enough) and the saving in percent that it should reach. Fixed values.
+SIGNAL_POINTS = {"repeated-passthrough": 2, "low-savings": 3, "fallback-heavy": 3, "tee-heavy": 2}
+SAVING_TARGETS = ((512, 384, 30.0), (192, 144, 24.0), (72, 48, 20.0))
 
-    Signals: ``fallback`` (half of the runs or more), ``failing`` (a quarter), ``slow`` (p95 of a second or more), ``poor`` (savings
-    under 40 %), ``negative`` (savings under 0). Coverage is the average saving less half of the fallback rate.
-    """
-    h = H.hydrate(df).where("not passthrough and command_fingerprint <> '' and raw_tokens > 0")
-    n = F.count("*")
+
+def workflow_hotspots(df: DataFrame) -> DataFrame:
+    """One row a fingerprint over all runs: counts, rates, p50 and p95 of durations, signals, coverage score and severity."""
+    h = H.hydrate(df).where("command_fingerprint <> ''")
+    n, c = F.count("*"), F.col
     g = h.groupBy(F.col("command_fingerprint").alias("fingerprint")).agg(
         F.min_by("command", "seq").alias("command"), F.min_by("profile", "seq").alias("profile"), n.alias("runs"), (H.exact_sum("savings_pct") / n).alias("average_pct"),
-        H.percent(F.count_if(F.col("exit_code") != 0), n).alias("failure_rate"), H.percent(F.count_if(F.col("fallback_used")), n).alias("fallback_rate"), F.sum("filtered_tokens").alias("residual"),
+        H.percent(F.count_if(c("exit_code") != 0), n).alias("failure_rate"), F.count_if(c("fallback_used")).alias("fallbacks"), H.percent(F.count_if(c("fallback_used")), n).alias("fallback_rate"),
+        F.count_if(c("tee_path") != "").alias("tees"), H.percent(F.count_if(c("tee_path") != ""), n).alias("tee_rate"), F.sum("raw_tokens").alias("raw_tokens"), F.sum("filtered_tokens").alias("residual"),
     )
-    k = h.select(F.col("command_fingerprint").alias("fingerprint"), "duration_ms")
+    k = h.select(c("command_fingerprint").alias("fingerprint"), "duration_ms")
     for p, name in ((0.5, "p50_ms"), (0.95, "p95_ms")):
         g = g.join(floor_percentile(k, "fingerprint", "duration_ms", p, name), "fingerprint")
-    c = F.col
-    rules = {"fallback": c("fallback_rate") >= 50, "failing": c("failure_rate") >= 25, "slow": c("p95_ms") >= 1000, "poor": (c("average_pct") < H.POOR_SAVINGS_PCT) & (c("average_pct") >= 0), "negative": c("average_pct") < 0}
-    signals = F.array_compact(F.array(*[F.when(v, F.lit(s)) for s, v in rules.items()]))
-    coverage = F.round(F.least(F.greatest(c("average_pct") - c("fallback_rate") / 2, F.lit(0.0)), F.lit(100.0)), 4)
-    return g.withColumns({"signals": F.array_join(signals, ","), "coverage": coverage, "family": family(c("command"))})
+    generic = (c("profile") == "passthrough") | c("profile").startswith("generic-")
+    raw, out = F.floor(c("raw_tokens") / c("runs")), F.floor(c("residual") / c("runs"))
+    target = F.lit(None).cast("double")
+    for least_raw, least_out, pct in reversed(SAVING_TARGETS):
+        target = F.when((raw >= least_raw) | (out >= least_out), pct).otherwise(target)
+    found = {
+        "repeated-passthrough": generic & (c("runs") >= 3),
+        "low-savings": (c("runs") >= 2) & (c("average_pct") < target),
+        "fallback-heavy": (c("fallbacks") >= 2) & (c("fallback_rate") >= 50),
+        "tee-heavy": (c("tees") >= 2) & (c("tee_rate") >= 50),
+    }
+    score = F.when(generic & (c("runs") >= 2), 1).otherwise(0) + F.least(F.greatest(c("runs") - 2, F.lit(0)), F.lit(4))
+    for name, points in SIGNAL_POINTS.items():
+        score = score + F.when(found[name], points).otherwise(0)
+    g = g.withColumns({"signals": F.array_join(F.array_compact(F.array(*[F.when(v, F.lit(s)) for s, v in found.items()])), ","), "coverage": score.cast("int"), "family": family(c("command"))})
+    severity = (100 - c("average_pct")) + c("fallback_rate") + c("failure_rate") / 2 + c("tee_rate") / 4 + c("p95_ms") / 25 + c("coverage") * 12
+    return g.drop("fallbacks", "tees", "raw_tokens").withColumn("severity", F.round(severity, 4))
 
 
 def recommendations(suggestions: DataFrame, hotspots: DataFrame) -> DataFrame:

@@ -69,13 +69,16 @@ _FAMILY = "CASE " + " ".join(f"WHEN {_HEAD} IN ({', '.join(repr(x) for x in head
     ("git", "git"), ("go", "go golangci-lint staticcheck"), ("javascript", "npm pnpm yarn bun npx node jest vitest tsc eslint"), ("python", "python python3 pytest ruff mypy black pip uv"), ("rust", "cargo rustc"), ("dotnet", "dotnet"),
     ("container", "docker podman"), ("kubernetes", "kubectl helm"), ("build", "make cmake ninja bazel mvn gradle gradlew terraform tofu pulumi"), ("search", "rg grep find fd"), ("files", "ls tree cat head tail less bat"), ("hosting", "gh glab"),
     ("cloud", "aws gcloud az vercel heroku fly"), ("data", "jq psql sqlite3 mysql duckdb"), ("http", "curl wget http"))) + " ELSE 'other' END"
-_HOT = f"""{HYDRATED}, w AS (SELECT * FROM h WHERE NOT passthrough AND command_fingerprint <> '' AND raw_tokens > 0),
+_HOT = f"""{HYDRATED}, w AS (SELECT * FROM h WHERE command_fingerprint <> ''),
 q AS (SELECT command_fingerprint AS fingerprint, duration_ms, row_number() OVER (PARTITION BY command_fingerprint ORDER BY duration_ms) - 1 AS k, count(*) OVER (PARTITION BY command_fingerprint) AS n FROM w),
 pc AS (SELECT fingerprint, max(duration_ms) FILTER (WHERE k = floor((n - 1) * 0.5::DOUBLE)) AS p50_ms, max(duration_ms) FILTER (WHERE k = floor((n - 1) * 0.95::DOUBLE)) AS p95_ms FROM q GROUP BY fingerprint),
 a AS (SELECT command_fingerprint AS fingerprint, arg_min(command, seq) AS command, arg_min(profile, seq) AS profile, count(*) AS runs, sum(pct)::DOUBLE / count(*) AS average_pct, count_if(exit_code <> 0)::DOUBLE * 100 / count(*) AS failure_rate,
- count_if(fallback_used)::DOUBLE * 100 / count(*) AS fallback_rate, sum(filtered_tokens)::BIGINT AS residual FROM w GROUP BY 1),
-hot AS (SELECT a.*, p50_ms, p95_ms, array_to_string(list_filter([CASE WHEN fallback_rate >= 50 THEN 'fallback' END, CASE WHEN failure_rate >= 25 THEN 'failing' END, CASE WHEN p95_ms >= 1000 THEN 'slow' END, CASE WHEN average_pct < 40 AND average_pct >= 0 THEN 'poor' END, CASE WHEN average_pct < 0 THEN 'negative' END], lambda x: x IS NOT NULL), ',') AS signals,
- round(least(greatest(average_pct - fallback_rate / 2, 0), 100), 4) AS coverage, {_FAMILY} AS family FROM a JOIN pc USING (fingerprint))"""
+ count_if(fallback_used) AS fb, count_if(fallback_used)::DOUBLE * 100 / count(*) AS fallback_rate, count_if(tee_path <> '') AS tees, count_if(tee_path <> '')::DOUBLE * 100 / count(*) AS tee_rate, sum(raw_tokens)::BIGINT AS raw, sum(filtered_tokens)::BIGINT AS residual FROM w GROUP BY 1),
+i AS (SELECT a.*, p50_ms, p95_ms, profile = 'passthrough' OR starts_with(profile, 'generic-') AS gen, runs >= 2 AND average_pct < CASE WHEN raw // runs >= 512 OR residual // runs >= 384 THEN 30 WHEN raw // runs >= 192 OR residual // runs >= 144 THEN 24 WHEN raw // runs >= 72 OR residual // runs >= 48 THEN 20 END AS low FROM a JOIN pc USING (fingerprint)),
+z AS (SELECT *, array_to_string(list_filter([CASE WHEN gen AND runs >= 3 THEN 'repeated-passthrough' END, CASE WHEN low THEN 'low-savings' END, CASE WHEN fb >= 2 AND fallback_rate >= 50 THEN 'fallback-heavy' END, CASE WHEN tees >= 2 AND tee_rate >= 50 THEN 'tee-heavy' END], lambda x: x IS NOT NULL), ',') AS signals FROM i),
+y AS (SELECT *, (CASE WHEN signals LIKE '%repeated%' THEN 2 ELSE 0 END + CASE WHEN signals LIKE '%low-%' THEN 3 ELSE 0 END + CASE WHEN signals LIKE '%fallback%' THEN 3 ELSE 0 END + CASE WHEN signals LIKE '%tee-%' THEN 2 ELSE 0 END + CASE WHEN gen AND runs >= 2 THEN 1 ELSE 0 END + least(greatest(runs - 2, 0), 4))::INT AS coverage FROM z),
+hot AS (SELECT fingerprint, command, profile, runs, average_pct, failure_rate, fallback_rate, tee_rate, residual, p50_ms, p95_ms, signals, coverage, {_FAMILY} AS family,
+ round((100 - average_pct) + fallback_rate + failure_rate / 2 + tee_rate / 4 + p95_ms::DOUBLE / 25 + coverage * 12, 4) AS severity FROM y)"""
 _MISSED = f"""r AS ({history_sql['profile_savings_ratio']}),
 o AS (SELECT array_to_string(command, ' ') AS command, profile_name AS profile, raw_combined AS t FROM captures WHERE raw_combined IS NOT NULL AND strlen(raw_combined) >= 200),
 k AS (SELECT command, profile, greatest((strlen(t) + 3) // 4, 1, len(regexp_extract_all(t, '[A-Za-z0-9]+')) + coalesce(list_sum(list_transform(list_filter(regexp_extract_all(t, '[A-Za-z0-9]+'), lambda x: strlen(x) > 12), lambda x: (strlen(x) - 9) // 8)), 0)

@@ -88,3 +88,48 @@ def write_batches(stream: DataFrame, path: str, checkpoint: str, once: bool = Tr
     """Appends a stream to a folder, each micro-batch exactly once; with ``once`` it stops when all there is was read."""
     w = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w.trigger(processingTime="10 seconds")).start()
+
+
+CHUNK_LINES = T.StructType([T.StructField("stream", T.StringType()), T.StructField("line_no", T.LongType()), T.StructField("line", T.StringType())])
+_PENDING = T.StructType([T.StructField("text", T.StringType()), T.StructField("lines", T.LongType())])
+
+
+def _unchunk(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    pending, n = state.get if state.exists else ("", 0)
+    for pdf in parts:
+        closed = False
+        for text, end in pdf.sort_values("seq")[["chunk", "end"]].itertuples(index=False):
+            pending += text or ""
+            closed = closed or bool(end)
+        lines = pending.split("\n")
+        pending = "" if closed else lines.pop()
+        if closed and lines and lines[-1] == "":
+            lines.pop()
+        if lines:
+            yield pd.DataFrame({"stream": [key[0]] * len(lines), "line_no": range(n + 1, n + 1 + len(lines)), "line": [x.replace("\r", "") for x in lines]})
+            n += len(lines)
+    state.update((pending, n))
+
+
+def lines_of_chunks(chunks: DataFrame) -> DataFrame:
+    """``stream, line_no, line``: lines of outputs that arrive in chunks, which may divide lines and escapes anywhere.
+
+    ``chunks``: ``stream, seq, chunk, end``; a stream's state is the text behind its last line end, given out when ``end`` is true.
+    """
+    c = chunks.select("stream", F.col("seq").cast("bigint").alias("seq"), "chunk", F.coalesce("end", F.lit(False)).alias("end"))
+    return c.groupBy("stream").applyInPandasWithState(_unchunk, CHUNK_LINES, _PENDING, "append", GroupStateTimeout.NoTimeout)
+
+
+def reduced_batches(stream: DataFrame, text: str, profile: str, exit_code: str, path: str, checkpoint: str, most: int = 12):
+    """Reduces the outputs of a stream by their profiles, micro-batch by micro-batch, and appends what each shows."""
+    from linelore.operators.reduce import reduce_texts
+
+    def write(batch: DataFrame, n: int) -> None:
+        reduce_texts(batch, text, profile, exit_code, None, most).drop(text).write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def preview(stream: DataFrame, n: int) -> DataFrame:
+    """The first rows of a stream, for output mode append; nothing more is kept once they are there."""
+    return stream.limit(n)
