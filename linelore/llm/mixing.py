@@ -73,6 +73,12 @@ def _rng(seed: int, *at: int) -> np.random.Generator:
 
 
 _SCHEMA = "doc_id bigint, source string, n_tokens bigint, copies int, pi double, node bigint"
+_ARROW = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("n_tokens", pa.int64()), ("copies", pa.int32()), ("pi", pa.float64()), ("node", pa.int64())])
+
+
+def _batch(pdf: pd.DataFrame) -> pa.RecordBatch:
+    """With stated types: those of a frame without rows can't be read from it."""
+    return pa.RecordBatch.from_pandas(pdf[_ARROW.names], schema=_ARROW, preserve_index=False)
 
 
 def _first_flight(seed: int):
@@ -89,9 +95,9 @@ def _first_flight(seed: int):
                 undecided = (part["pi"] > 0) & (part["pi"] < 1)
                 if undecided.any():
                     left[source] = part[undecided]
-                yield pa.RecordBatch.from_pandas(part[~undecided][["doc_id", "source", "n_tokens", "copies", "pi", "node"]], preserve_index=False)
+                yield _batch(part[~undecided])
         if left:
-            yield pa.RecordBatch.from_pandas(pd.concat(left.values())[["doc_id", "source", "n_tokens", "copies", "pi", "node"]], preserve_index=False)
+            yield _batch(pd.concat(left.values()))
 
     return run
 

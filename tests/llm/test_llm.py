@@ -159,6 +159,9 @@ def test_mix(spark):
     tok = {s: sum(x.n_tokens * x.repeats for x in sel if x.source == s) for s in ("big", "small")}
     assert abs(tok["big"] / tok["small"] - 0.5 / 0.4) < 0.02
     assert mixing.select_mix(df.where("false"), targets).count() == 0
+    # hardly any document in a partition: all of them undecided at first
+    few = mixing.select_mix(df.limit(25).repartition(12), targets).collect()
+    assert len({x.doc_id for x in few}) == len(few) > 0
 
 
 def test_subjects(spark):
