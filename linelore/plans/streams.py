@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linelore.plans.text import SQL as text_sql
 from linelore.session import drop_at_exit, shared_folder
 from linelore.streaming import streams as S
 
@@ -46,5 +47,6 @@ def stream_severity_counts(spark, root):
 _LIST = (stream_event_rates, stream_severity_counts)
 QUERIES = {f.__name__: f for f in _LIST}
 SQL = {
+    "stream_severity_counts": text_sql["severity_histogram"],
     "stream_event_rates": "SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
